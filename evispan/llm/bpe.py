@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from evispan.llm._common import slices, texts
 
 #: Entries that a worker's table of units may hold before it is emptied: memory only, never a result.
-MEMO = 500_000
+MEMO = 800_000
 #: Unicode White_Space, spelled out so that no library's own idea of \s matters.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _DOUBLE = re.compile(r"\s\s")
@@ -67,31 +67,39 @@ class ByteBpe:
         lens = np.array([len(w) for w in words], np.int64)
         sym = self.base[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
-        none = len(self.made)
+        none, last = len(self.made), len(self.keys) - 1
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            key = left * self.wide + right
+            at = np.minimum(np.searchsorted(self.keys, key), last)
+            return np.where(self.keys[at] == key, self.rank_at[at], none)
+
+        ends = np.append(word[1:] != word[:-1], True) if len(word) else word
+        rank = np.where(ends, none, ranks(sym, np.roll(sym, -1)))  # of each symbol with the next one in its word
         while len(sym):
-            key = sym[:-1] * self.wide + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank_at[at], none)
-            rank = np.append(rank, none)
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(rank, first)
-            size = np.diff(np.r_[first, len(sym)])
+            first = np.flatnonzero(np.r_[True, ends[:-1]])
+            least, size = np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(sym)])
             if (done := least == none).any():
-                for w, a, n in zip(word[first[done]], first[done], size[done]):
+                for w, a, n in zip(word[first[done]].tolist(), first[done].tolist(), size[done].tolist()):
                     out[w] = sym[a : a + n]
                 keep = np.repeat(~done, size)
-                sym, word, rank = sym[keep], word[keep], rank[keep]
+                sym, word, rank, ends = sym[keep], word[keep], rank[keep], ends[keep]
                 least, size = least[~done], size[~done]
                 if not len(sym):
                     break
             hit = rank == np.repeat(least, size)
-            # of overlapping places (a run of one symbol) every second one, from the left
-            i = np.arange(len(sym))
-            begin = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], i, 0))
-            hit &= (i - begin) % 2 == 0
-            sym = np.where(hit, self.made[np.where(hit, rank, 0)], sym)
-            keep = ~np.r_[False, hit[:-1]]
-            sym, word = sym[keep], word[keep]
+            if (hit[1:] & hit[:-1]).any():  # overlapping places, a run of one symbol: every second one, from the left
+                i = np.arange(len(sym))
+                begin = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], i, 0))
+                hit &= (i - begin) % 2 == 0
+            at = np.flatnonzero(hit)
+            sym[at], ends[at] = self.made[rank[at]], ends[at + 1]
+            gone = np.zeros(len(sym), bool)
+            gone[at + 1] = True
+            at = at - np.arange(len(at))  # where the merged symbols come to lie
+            sym, word, rank, ends = sym[~gone], word[~gone], rank[~gone], ends[~gone]
+            fresh = np.unique(np.r_[at, at[at > 0] - 1])
+            rank[fresh] = np.where(ends[fresh], none, ranks(sym[fresh], sym[np.minimum(fresh + 1, len(sym) - 1)]))
         return out
 
     def units(self, text: str) -> list[str]:
@@ -103,7 +111,8 @@ class ByteBpe:
 
     def learn(self, new: Iterable[str]) -> None:
         """Put units into the table: their words are encoded in one batch."""
-        found = {u: [w.encode() for w in self.words.findall(u)] for u in new}
+        split = self.words.findall
+        found = {u: [u.encode()] if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()) else [w.encode() for w in split(u)] for u in new}
         words = list(dict.fromkeys(w for own in found.values() for w in own))
         ids = dict(zip(words, (x.astype("<u4").tobytes() for x in self.encode_words(words)))) if words else {}
         self.memo.update((u, b"".join(map(ids.__getitem__, own))) for u, own in found.items())
@@ -116,13 +125,20 @@ class ByteBpe:
             cut.append([(p, None) if i % 2 else (None, self.units(p)) for i, p in enumerate(parts)])
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new: set[str] = set()
+        get = self.memo.get
+        found = [[get(u) for u in units or ()] for parts in cut for _, units in parts]
+        self.learn({u for (_, units), own in zip((p for parts in cut for p in parts), found) if None in own for u, x in zip(units, own) if x is None})
+        out, at = [], iter(found)
         for parts in cut:
-            for _, units in parts:
-                new.update(units or ())
-        self.learn(new.difference(self.memo))
-        get = self.memo.__getitem__
-        return [b"".join(np.array([self.special[s]], "<u4").tobytes() if s is not None else b"".join(map(get, units)) for s, units in parts) for parts in cut]
+            ids = []
+            for special, units in parts:
+                own = next(at)
+                if special is not None:
+                    ids.append(np.array([self.special[special]], "<u4").tobytes())
+                else:
+                    ids += own if None not in own else [self.memo[u] if x is None else x for u, x in zip(units, own)]
+            out.append(b"".join(ids))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes([text])[0], "<u4").tolist()
