@@ -262,10 +262,10 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """What is left of each document: ``rest`` (all columns of ``df`` but the text), ``n_bytes, n_removed, n_spans, kept``.
 
-    ``kept`` has the remaining bytes, joined. Texts count as UTF-8 bytes, a null text as empty. Earlier: smaller id (an
+    ``kept`` has the remaining bytes, joined; with ``as_text`` as a string, without the parts of characters that a removal cut. Texts count as UTF-8 bytes, a null text as empty. Earlier: smaller id (an
     integer; null before all), then, under one id, smaller hash of the text, then earlier start. Rows repeated with id and
     text are one document and all get its result. Texts under ``length`` bytes stay whole. An empty table
     gives none; other columns are only handed on.
@@ -286,9 +286,9 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 for column, x in zip(out, (len(raw), len(raw) - len(kept), len(gone), kept)):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["rest", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array([x.decode("utf-8", "ignore") for x in out[3]], pa.string()) if as_text else pa.array(out[3], pa.binary())], ["rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(spans, ["k1", "k2"], "left").select("text", "spans", "rest").mapInArrow(work, f"rest {rest}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(spans, ["k1", "k2"], "left").select("text", "spans", "rest").mapInArrow(work, f"rest {rest}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def digests(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -285,8 +285,9 @@ def _frequencies(rows: DataFrame, terms: list[str], p: Params) -> tuple[int, np.
     return int(out[-1]), out[:-1]
 
 
-def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text: ``doc_id, held_out, score, predicted, evidence``, and all columns of ``docs`` under ``row``.
+def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Score every whole text: ``doc_id, held_out, score, predicted, evidence``, and under ``row`` the columns of ``docs``
+    that ``carry`` names (all by default).
 
     ``score`` is from 0 to 1; ``predicted`` is 1 from ``Params.threshold`` on; ``evidence`` has the nearest labelled examples
     with label and cosine, none where a text has no term that tells labels apart. Null texts score like empty ones. Only the
@@ -295,7 +296,7 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p, id_col, text_col))
     key = F.col(id_col)
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("doc_id"), is_held_out(key).alias("held_out"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("doc_id"), is_held_out(key).alias("held_out"), F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry or [id_col])]).alias("row"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     scored = pa.struct([("example", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])
 
