@@ -18,14 +18,14 @@ class Params:
     ``block`` nodes along ``directions`` random directions; at most ``rounds`` rounds, ended when under ``settled`` of all
     edges change. A search keeps ``beam`` nodes and expands ``expand`` of them a round."""
 
-    k: int = 20
-    sample: int = 14
+    k: int = 32
+    sample: int = 24
     block: int = 256
     directions: int = 3
-    rounds: int = 10
+    rounds: int = 8
     settled: float = 0.01
-    beam: int = 48
-    expand: int = 8
+    beam: int = 224
+    expand: int = 28
 
 
 def _usable(v: Column) -> Column:
@@ -35,7 +35,11 @@ def _usable(v: Column) -> Column:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width) if len(column) else np.empty((0, width))
+    """Rows of vectors packed as floats or doubles, in double precision."""
+    raw = column.to_pylist()
+    if not raw:
+        return np.empty((0, width))
+    return np.frombuffer(b"".join(raw), f"<f{len(raw[0]) // width}").reshape(-1, width).astype(np.float64)
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
@@ -44,23 +48,34 @@ def _pairs(x: np.ndarray) -> np.ndarray:
 
 
 def nodes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
-    """Distinct vectors: ``node`` (the least id that has it) and ``v`` (its doubles as bytes); and the dimension.
+    """Distinct vectors: ``node`` (the least id that has it) and ``v`` (its numbers as bytes); and the dimension.
 
     Vectors whose length isn't that of the least id's take no part, as no distance to them is defined.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).where(F.col("id").isNotNull() & _usable(F.col("e")))
+    rows = usable(df, id_col, vector_col)
     first = rows.agg(F.min_by(F.size("e"), "id").alias("n")).first()["n"]
     if first is None:
         return df.sparkSession.createDataFrame([], "node long, v binary"), 0
-    # adding 0 makes -0.0 and 0.0 one
-    rows = rows.where(F.size("e") == first).withColumn("e", F.transform("e", lambda x: x.cast("double") + 0.0)).groupBy("e").agg(F.min("id").alias("node"))
+    return cut(_packed(rows, first).groupBy("v").agg(F.min("id").alias("node")).select("node", "v"), "nodes"), first
+
+
+def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``id, e`` of the rows that take part; floats stay floats, other numbers become doubles."""
+    e = F.col(vector_col)
+    e = e if df.schema[vector_col].dataType.simpleString() == "array<float>" else e.cast("array<double>")
+    return df.select(F.col(id_col).cast("long").alias("id"), e.alias("e")).where(F.col("id").isNotNull() & _usable(F.col("e")))
+
+
+def _packed(rows: DataFrame, width: int) -> DataFrame:
+    """``id, v`` of rows of the given length; -0.0 and 0.0 are one number."""
+    kind = "<f4" if rows.schema["e"].dataType.simpleString() == "array<float>" else "<f8"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["node", "v"])
+            flat = (batch.column(1).flatten().to_numpy(zero_copy_only=False) + 0).astype(kind).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["id", "v"])
 
-    return cut(rows.select("node", "e").mapInArrow(pack, "node long, v binary"), "nodes"), first
+    return rows.where(F.size("e") == width).select("id", "e").mapInArrow(pack, "id long, v binary")
 
 
 def _blocks(v: DataFrame, width: int, p: Params, seed: int) -> DataFrame:
@@ -194,7 +209,7 @@ def search(v: DataFrame, edges: DataFrame, queries: DataFrame, width: int, p: Pa
     edges, and keeps the nearest of all met; it ends when all that it keeps are expanded. Rounds go over all queries
     at once, as joins of the few open nodes with the graph.
     """
-    links = cut(edges.select("node", "near").unionAll(edges.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct().withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("near", "node"), "near"))).where(F.col("r") <= 3 * p.k).select("node", "near"), "links")
+    links = cut(edges.select("node", "near").unionAll(edges.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct().withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("near", "node"), "near"))).where(F.col("r") <= 2 * p.k).select("node", "near"), "links")
     q = queries.select(F.col("node").alias("query"), F.col("v").alias("q"))
     state = q.select("query", F.col("query").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
     place = Window.partitionBy("query").orderBy("done", "d", "node")
@@ -226,15 +241,7 @@ def nearest(df: DataFrame, top: int = 10, is_query: Callable[[Column], Column] =
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     edges = graph(v, width, p)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).where(F.col("id").isNotNull() & _usable(F.col("e"))).withColumn("e", F.transform("e", lambda x: x.cast("double") + 0.0))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, es = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            own = [(i, np.array(e, "<f8").tobytes()) for i, e in zip(ids, es) if len(e) == width]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([e for _, e in own], pa.binary())], ["id", "v"])
-
-    owner = cut(rows.mapInArrow(pack, "id long, v binary").join(v, "v").select("id", "node").distinct(), "owner")
+    owner = cut(_packed(usable(df, id_col, vector_col), width).join(v, "v").select("id", "node").distinct(), "owner")
     # of rows with one vector only the first few can be among the nearest
     firsts = owner.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= top + 1).select("node", "id")
     asked = owner.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("node").alias("query"))
