@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -30,6 +31,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -42,21 +44,31 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        """Ids and the end id, as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special) or _CONTROL.search(text):
-            return self.whole([text])[0] + self.end
+    def learn(self, new: set[str]) -> None:
+        """Put parts between white space into the table, in one call of the library. A sign behind letters is a token of its
+        own for the splitter, so such a part is its word and its sign."""
+        cut = {u: (u[:-1], u[-1]) if u[-1] in ",.;:!?" and u[:-1].isalpha() else (u,) for u in new}
+        words = list({w for own in cut.values() for w in own}.difference(self.memo))
+        self.memo.update(zip(words, self.whole(words)))
+        self.memo.update((u, b"".join(map(self.memo.__getitem__, own))) for u, own in cut.items() if len(own) > 1)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        units = unicodedata.normalize("NFC", text).split()
-        get = self.memo.get
-        ids = [get(u) for u in units]
-        if None in ids:
-            new = list({u for u, x in zip(units, ids) if x is None})
-            self.memo.update(zip(new, self.whole(new)))
-            ids = [self.memo[u] for u in units]
-        ids.append(self.end)
-        return b"".join(ids)
+        get, found, odd = self.memo.get, [], {}
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special) or _CONTROL.search(text):
+                odd[i] = text
+                found.append(((), ()))
+            else:
+                units = unicodedata.normalize("NFC", text).split()
+                found.append((units, list(map(get, units))))
+        self.learn({u for units, ids in found if None in ids for u, x in zip(units, ids) if x is None})
+        out = [b"".join([*(ids if None not in ids else map(self.memo.__getitem__, units)), self.end]) for units, ids in found]
+        for i, raw in zip(odd, self.whole(list(odd.values()))):
+            out[i] = raw + self.end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +90,7 @@ def pieces(df: DataFrame, path: str, end: int = 1, most: int = 4096, id_col: str
         enc, uid = encoder(path, end), TaskContext.get().partitionId() << 40
         for batch, own in slices(batches):
             at, out = [], [[], [], [], [], [], []]
-            for i, text in enumerate(own):
-                ids = enc(text)
+            for i, ids in enumerate(enc(own)):
                 for k, a in enumerate(range(0, len(ids), 4 * most)):
                     raw = ids[a : a + 4 * most]
                     at.append(i)
