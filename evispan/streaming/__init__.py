@@ -1,0 +1 @@
+"""Streaming extensions of the engine."""
