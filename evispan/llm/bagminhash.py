@@ -90,7 +90,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     low, level = 0, 0
     while len(bag):
         size = max(1, low)
-        for column, x in zip(all_, (bag, mix(element + _times(2 * level + 1)), np.full(len(bag), float(size)), np.minimum(1.0, (count - low) / size))):
+        for column, x in zip(all_, (bag, mix(mix(element) + _times(2 * level + 1)), np.full(len(bag), float(size)), np.minimum(1.0, (count - low) / size))):
             column.append(x)
         low, level = low + size, level + 1
         more = count > low

@@ -20,7 +20,8 @@ WIDTH, BATCH = 32, 1_500_000
 def bounded_bwt(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order by the first ``depth`` bytes (``depth`` >= 8; ties in any order) and the byte before each suffix.
 
-    Ranks of 8 bytes are packed into one number; ranks of longer stretches come from two shorter ones. Past the
+    ``data`` must end in a zero byte, which also counts as the byte before the first suffix: then suffixes that begin with
+    a byte are as many as suffixes it stands before, as the transform's counting needs. Ranks of 8 bytes are packed into one number; ranks of longer stretches come from two shorter ones. Past the
     end come zeros, so a stretch that reaches the end must not be compared.
     """
     n = len(data)
