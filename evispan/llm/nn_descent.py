@@ -78,8 +78,10 @@ def _packed(rows: DataFrame, width: int) -> DataFrame:
     return rows.where(F.size("e") == width).select("id", "e").mapInArrow(pack, "id long, v binary")
 
 
-def _blocks(v: DataFrame, width: int, p: Params, seed: int) -> DataFrame:
-    """Neighbours within blocks of nodes that lie next to each other along a random direction: ``node, near, d``."""
+def _blocks(v: DataFrame, width: int, p: Params, seed: int, count: int) -> DataFrame:
+    """Neighbours within blocks of nodes that lie next to each other along a random direction: ``node, near, d``.
+
+    No more ranges than there are whole blocks, so that few nodes still meet each other."""
     way = np.random.default_rng(seed).normal(size=width)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def _blocks(v: DataFrame, width: int, p: Params, seed: int) -> DataFrame:
         best = np.argsort(d, axis=1)[:, :n]
         return _edges(np.repeat(ids, n), ids[best].ravel(), np.take_along_axis(d, best, 1).ravel())
 
-    order = v.mapInArrow(project, "node long, v binary, at double").repartitionByRange(parts(v.sparkSession), "at", "node").sortWithinPartitions("at", "node")
+    order = v.mapInArrow(project, "node long, v binary, at double").repartitionByRange(max(1, min(parts(v.sparkSession), count // p.block)), "at", "node").sortWithinPartitions("at", "node")
     return order.mapInArrow(join, "node long, near long, d double")
 
 
@@ -166,9 +168,10 @@ def graph(v: DataFrame, width: int, p: Params = Params()) -> DataFrame:
     every node hears of the neighbours of its neighbours; it keeps the nearest. A node's share of a round is bounded by
     ``sample``, whatever the number of nodes that have it as a neighbour. Each round's graph is a written table.
     """
-    first = _blocks(v, width, p, 1)
+    count = v.count()
+    first = _blocks(v, width, p, 1, count)
     for seed in range(2, p.directions + 1):
-        first = first.unionAll(_blocks(v, width, p, seed))
+        first = first.unionAll(_blocks(v, width, p, seed, count))
     now = cut(_best(first.withColumn("new", F.lit(True)), p.k), "graph")
     total = max(1, now.count())
     for turn in range(p.rounds):
