@@ -18,6 +18,8 @@ from evispan.llm._common import cut, drop_cut, parts, slices, texts
 
 #: Entries that a worker's table of words may hold before it is emptied: memory only, never a result.
 MEMO = 600_000
+#: Words that the library gets as one text.
+JOINED = 2000
 #: Separators that Python's split() takes for white space and the tokenizer doesn't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -39,33 +41,57 @@ class WordEncoder:
         self.tok.no_padding()
         self.end = np.array([end], "<u4").tobytes()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        ids = self.tok.get_vocab(with_added_tokens=True)
+        self.ending = np.zeros(max(ids.values()) + 1, bool)
+        self.ending[[i for t, i in ids.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many of them as one text: the splitter takes each for one token of its own, whose last
+        id is one that ends a word. Where a word's normal form falls into more, there are more such ids than words, and
+        each word goes to the library by itself."""
+        out: list[bytes] = []
+        for a in range(0, len(words), JOINED):
+            own = words[a : a + JOINED]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ending[ids]) + 1)
+            if len(ends) == len(own):
+                raw, cuts = ids.tobytes(), ends.tolist()
+                out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+            else:
+                out += self.whole(own)
+        return out
 
     def learn(self, new: set[str]) -> None:
-        """Put parts between white space into the table, in one call of the library. A sign behind letters is a token of its
-        own for the splitter, so such a part is its word and its sign."""
-        cut = {u: (u[:-1], u[-1]) if u[-1] in ",.;:!?" and u[:-1].isalpha() else (u,) for u in new}
-        words = list({w for own in cut.values() for w in own}.difference(self.memo))
-        self.memo.update(zip(words, self.whole(words)))
-        self.memo.update((u, b"".join(map(self.memo.__getitem__, own))) for u, own in cut.items() if len(own) > 1)
+        """Put parts between white space into the table. A sign behind letters is a token of its own for the splitter, so
+        such a part is its word and its sign; letters whose lower case ends in a mark would share a token with the sign."""
+        cut = {u: (u[:-1], u[-1]) for u in new if u[-1] in ",.;:!?" and u[:-1].lower().isalpha()}
+        plain = {u for u in new if u.isalpha()}
+        odd = list(new.difference(plain, cut).union(x[1] for x in cut.values()).difference(self.memo))
+        plain = list(plain.union(x[0] for x in cut.values()).difference(self.memo))
+        self.memo.update(zip(plain, self.words(plain)))
+        self.memo.update(zip(odd, self.whole(odd)))
+        memo = self.memo
+        memo.update([(u, memo[a] + memo[b]) for u, (a, b) in cut.items()])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        get, found, odd = self.memo.get, [], {}
+        found, odd, seen = [], {}, set()
         for i, text in enumerate(texts):
             if any(s in text for s in self.special) or _CONTROL.search(text):
                 odd[i] = text
-                found.append(((), ()))
+                found.append(())
             else:
-                units = unicodedata.normalize("NFC", text).split()
-                found.append((units, list(map(get, units))))
-        self.learn({u for units, ids in found if None in ids for u, x in zip(units, ids) if x is None})
-        out = [b"".join([*(ids if None not in ids else map(self.memo.__getitem__, units)), self.end]) for units, ids in found]
+                found.append(units := unicodedata.normalize("NFC", text).split())
+                seen.update(units)
+        self.learn(seen.difference(self.memo))
+        get = self.memo.__getitem__
+        out = [b"".join([*map(get, units), self.end]) for units in found]
         for i, raw in zip(odd, self.whole(list(odd.values()))):
             out[i] = raw + self.end
         return out

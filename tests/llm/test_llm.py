@@ -128,6 +128,18 @@ def test_packing(spark):
         assert own == [(k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
 
 
+def test_word_ids_equal_library():
+    """Letters whose lower or normal form has marks, signs behind them, contractions, digits, control characters."""
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(WORD), packing.WordEncoder(WORD, 1)
+    odd = ["İ", "İ,", "İİ.", "ŉa", "ΣΑΣ", "ΣΑΣ;", "ǅabc", "ﬁne", "ª", "ͅa", "अि", "ไทย,", "don't", "we've.", "12,5", "a\x1cb", "x.y,", "...", "a.,", "½", "Ⅷ", "e\u0301", "e\u0301,", "𐐀𐐁,", "\u0130\u0301", "<|startoftext|>", "한글", "각."]
+    texts = odd + [" ".join(R.sample(odd + WORDS, 40)) for _ in range(60)] + [" ".join(odd[:14])]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
+    assert enc(texts) == want and [enc([t])[0] for t in texts] == want
+    assert [packing.WordEncoder(WORD, 1)([t])[0] for t in texts[:5]] == want[:5]
+
+
 def test_best_fit_is_near_the_bound(spark):
     sizes = [R.randint(1, 4095) if R.random() < 0.3 else R.randint(1, 400) for _ in range(1500)]
     got = packing.best_fit(spark.createDataFrame(list(enumerate(sizes)), "id long, size long")).collect()
