@@ -137,7 +137,8 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of links ``a, b``: ``node, label``, the least node of each. Labels spread over links and jump along
     labels, so rounds are about the logarithm of the longest path; each round's labels are a written table."""
-    links = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = cut(edges.select(F.inline(both).alias("a", "b")).distinct(), tag)
     now = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), tag)
     while True:
         near = links.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -191,22 +192,32 @@ def _compare(members: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
     own = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "label").join(bags, "k")
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
-        joined: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while joined.setdefault(x, x) != x:
-                joined[x] = joined[joined[x]]
-                x = joined[x]
-            return x
-
-        links = []
-        for x, (own_x, k, label, bag) in enumerate(rows):
-            for own_y, other, label_y, bag_y in rows[:x]:
-                if root(label) != root(label_y):
-                    w, v = bag[1].sum(), bag_y[1].sum()
-                    if min(w, v) >= p.least * max(w, v) and overlap(bag, bag_y) >= p.least:
-                        joined[root(label)] = root(label_y)
-                        links.append((label, label_y))
+        if len(rows) < 2:
+            return []
+        block, label = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+        n = np.concatenate([r[3][1] for r in rows])
+        ends = np.cumsum([0, *(len(r[3][0]) for r in rows)])
+        kinds, at = np.unique(np.concatenate([r[3][0] for r in rows]), return_inverse=True)
+        before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[ends]
+        weight, two = np.diff(before), block.min() != block.max()
+        own, root, links = np.zeros(len(kinds), n.dtype), label.copy(), []
+        for x in range(1, len(rows)):
+            # members of one block meet in the pair of that block with itself
+            w = weight[:x]
+            open_ = (root[:x] != root[x]) & (np.minimum(w, weight[x]) >= p.least * np.maximum(w, weight[x])) & ((block[:x] != block[x]) | (not two))
+            if not open_.any():
+                continue
+            mine = slice(ends[x], ends[x + 1])
+            own[at[mine]] = n[mine]  # overlaps of x with all before it, in one pass over them
+            upto = np.concatenate([[0], np.cumsum(np.minimum(own[at[: ends[x]]], n[: ends[x]]), dtype=np.int64)])
+            own[at[mine]] = 0
+            both = np.diff(upto[ends[: x + 1]])
+            union = w + weight[x] - both
+            near = (union == 0) | (both / np.maximum(union, 1) >= p.least)
+            for y in np.flatnonzero(open_ & near):
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    links.append((int(label[x]), int(label[y])))
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
