@@ -182,10 +182,10 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 use = np.flatnonzero(np.isin(h.view(np.int64), wanted[i].values.to_numpy()))
                 for j, a, b, c in zip(use.tolist(), at[use].tolist(), lo[use].tolist(), hi[use].tolist()):
                     key = (a - b, raw[b : c + length])
-                    if key in first:
-                        marks.setdefault((k1[i], k2[i]), []).append((b, c + length))
-                    else:
+                    if key not in first:
                         first[key] = (int(h[j].view(np.int64)), k1[i], k2[i], b)
+                    elif first[key][1:] != (k1[i], k2[i], b):  # else a repeated row met itself
+                        marks.setdefault((k1[i], k2[i]), []).append((b, c + length))
             rows = [(h, a, b, lo, None, off, ctx) for (off, ctx), (h, a, b, lo) in first.items()]
             for (a, b), spans in marks.items():
                 rows += [(b, a, b, s, e, None, None) for s, e in merge(spans)]
@@ -212,7 +212,7 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 own, key, now = groups.setdefault(h, {}), (off, ctx), (k1, k2, start)
                 if (before := own.get(key)) is None:
                     own[key] = now
-                else:
+                elif before != now:  # else a repeated row met itself
                     own[key], late = (before, now) if before <= now else (now, before)
                     marks.append((*late, late[2] + len(ctx)))
             if len(marks) > 200_000:

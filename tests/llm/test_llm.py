@@ -232,6 +232,25 @@ def test_suffix_dedup_against_brute_force(spark):
         assert tuple(got[i])[1:] == (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_suffix_dedup_repeated_rows(spark, partitions):
+    """Rows repeated as a whole are one document: no copy loses what starts in no earlier document."""
+    long, other, twice = text(60), text(50), text(30)
+    pairs = [(1, long), (1, long), (1, long), (None, other), (None, other), (2, "x " + long), (3, twice + "|" + twice), (3, twice + "|" + twice), (4, other), (4, other)]
+    got = suffix_dedup.digests(docs(spark, pairs).repartition(partitions)).collect()
+    seen, want = set(), []
+    for i, t in sorted(set(pairs), key=lambda p: (p[0] is not None, p[0] or 0)):
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for a in range(len(raw) - 99):
+            if raw[a : a + 100] in seen:
+                gone[a : a + 100] = True
+            seen.add(raw[a : a + 100])
+        spans = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
+        want += [(i, len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())] * pairs.count((i, t))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_intervals_on_the_transform():
     data = np.frombuffer(bytes(R.choice(b"abc") for _ in range(700)) * 2 + b"\0", np.uint8)  # it must end in a zero byte
     order, bwt = suffix_dedup.bounded_bwt(data, 30)
