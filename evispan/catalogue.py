@@ -189,6 +189,51 @@ def group_rank(spark, d):
     return search.shallowest(hits, wanted, ["query_id"], "vec_id").select("query_id", F.col("first_rank").cast("long"), F.col("group_rank").cast("long"))
 
 
+# The queries above ask with the 20 vectors their SQL names; those below ask with every vector. SQL would take rows times rows, so they have none.
+
+
+def _all_hits(spark, d, k):
+    return search.cosine_blocked(i.table(spark, d, "embeddings"), i.vectors_as_queries(spark, d), k)
+
+
+@query()
+def vector_topk_all(spark, d):
+    return _rounded(_all_hits(spark, d, 10), "score").select("query_id", "vec_id", "score", F.col("rank").cast("long"))
+
+
+def _fused_all(spark, d, weights):
+    hits = _all_hits(spark, d, 20).select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
+    e = i.table(spark, d, "embeddings")
+    # all of a label score alike, so its 20 smallest ids are the list of each of its vectors
+    same = search.top_k(e.where("label IS NOT NULL").select("label", F.col("vec_id").alias("chunk_id"), F.lit(1.0).alias("score")), ["label"], 20)
+    same = e.select(F.col("vec_id").alias("query_id"), "label").join(same, "label").select("query_id", "chunk_id", "rank")
+    out = search.fuse(hits, same, by=["query_id"], weights=weights)
+    return out.select("query_id", "chunk_id", *[F.col(c).cast("long") for c in ("first_rank", "second_rank")], F.round("score", 9).alias("score"), F.col("rank").cast("long"))
+
+
+@query()
+def rrf_fusion_all(spark, d):
+    return _fused_all(spark, d, (1.0, 1.0))
+
+
+@query()
+def rrf_weighted_all(spark, d):
+    return _fused_all(spark, d, (1.0, 0.25))
+
+
+@query()
+def hybrid_topk_all(spark, d):
+    return _fused_all(spark, d, (1.0, 0.0)).where("rank <= 5")
+
+
+@query()
+def group_rank_all(spark, d):
+    have = i.table(spark, d, "embeddings").select("vec_id")
+    wanted = have.select(F.col("vec_id").alias("query_id"), F.explode(F.array("vec_id", F.col("vec_id") + 1)).alias("vec_id")).join(have, "vec_id", "left_semi")
+    out = search.shallowest(_all_hits(spark, d, 20), wanted, ["query_id"], "vec_id")
+    return out.select("query_id", F.col("first_rank").cast("long"), F.col("group_rank").cast("long"))
+
+
 # intervals, context, evidence
 
 

@@ -86,6 +86,60 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     return top_k(met.mapInArrow(run, f"{query} long, {key} long, score double"), [query], k, key=key)
 
 
+def _blocks(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """Unit vectors packed ``width`` to a row, as bytes: ``ids, vs``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, width):
+                own = batch.slice(a, width)
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in (own.column(0), own.column(1).flatten())], ["ids", "vs"])
+
+    return df.select(F.col(key).cast("long").alias("i"), normalize(F.col(vector)).alias("v")).mapInArrow(pack, "ids binary, vs binary")
+
+
+def cosine_blocked(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", width: int = 256) -> DataFrame:
+    """``cosine`` where the queries are as many as the rows: every block of rows meets every block of queries, all pairs are worked out.
+
+    A task keeps the ``k`` best of each query of its blocks; a pair under the worst of them goes no further. Time grows with rows times queries.
+    """
+    n = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = _blocks(vectors, key, vector, width).repartition(n)
+    asked = _blocks(queries, query, vector, width).repartition(4 * n).toDF("q", "qv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple] = {}
+
+        def out() -> pa.RecordBatch:
+            got = [pa.array(np.concatenate(c)) for c in zip(*((np.frombuffer(q, np.int64)[j], i, s) for q, (j, i, s, _) in best.items()))]
+            best.clear()
+            return pa.RecordBatch.from_arrays(got, [query, key, "score"])
+
+        for batch in batches:
+            for ids, vs, q, qv in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                ids = np.frombuffer(ids, np.int64)
+                m = len(q) // 8
+                sim = np.round(np.clip(np.frombuffer(qv).reshape(m, -1) @ np.frombuffer(vs).reshape(len(ids), -1).T, -1, 1), 9)
+                j, i, s, least = best.get(q) or (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.full(m, -np.inf))
+                a, b = np.nonzero(sim >= least[:, None])
+                j, i, s = np.append(j, a), np.append(i, ids[b]), np.append(s, sim[a, b])
+                by = np.lexsort((i, -s, j))
+                place = np.arange(len(by)) - np.searchsorted(j[by], j[by])
+                by = by[place < k]
+                j, i, s = j[by], i[by], s[by]
+                least = np.full(m, -np.inf)
+                full = np.flatnonzero(np.bincount(j, minlength=m) == k)
+                least[full] = s[np.searchsorted(j, full, side="right") - 1]
+                best[q] = j, i, s, least
+                if len(best) > 1000:
+                    yield out()
+        if best:
+            yield out()
+
+    met = rows.join(asked, F.lit(True))
+    return top_k(met.mapInArrow(run, f"{query} long, {key} long, score double"), [query], k, key=key)
+
+
 def fuse(first: DataFrame, second: DataFrame, by: list[str], weights: tuple[float, float] = (1.0, 1.0), constant: int = 60, key: str = "chunk_id") -> DataFrame:
     """Reciprocal rank fusion: full outer join on ``by`` and ``key``, score w1 / (c + rank1) + w2 / (c + rank2), a missing term 0; zero scores go."""
     if min(weights) < 0 or max(weights) == 0 or constant < 0:

@@ -50,6 +50,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def vectors_as_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of the table as a query."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star schema's keys as typed edges."""
     read = lambda n: table(spark, sf_dir, n)
