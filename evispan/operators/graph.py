@@ -21,6 +21,13 @@ def adjacency(edges: DataFrame, direction: str = "both", predicates: tuple[str,
     return out if direction == "outgoing" else back if direction == "incoming" else out.unionAll(back).distinct()
 
 
+def nearest_neighbors(adj: DataFrame, max_neighbors: int, max_edges: int) -> DataFrame:
+    """Of each node the first ``max_neighbors`` neighbours by id (itself not counted), of each the first ``max_edges`` edges; the first limit is
+    applied before the shuffle, so a hub never meets the paths with all its edges."""
+    own = adj.where(F.col("node") != F.col("next")).withColumn("nr", F.dense_rank().over(Window.partitionBy("node").orderBy("next"))).where(F.col("nr") <= max_neighbors)
+    return own.withColumn("er", F.row_number().over(Window.partitionBy("node", "next").orderBy("edge_id"))).where(F.col("er") <= max_edges).select("node", "edge_id", "next")
+
+
 def extend(paths: DataFrame, adj: DataFrame, max_neighbors: int = 16, max_edges: int = 4) -> DataFrame:
     """Paths (``path_id, nodes, edges``) one step on: neighbours not on the path, the first ``max_neighbors`` by id, and of each the
     first ``max_edges`` edges. ``limited`` tells which paths had more neighbours."""
@@ -40,6 +47,8 @@ def walk(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, max_paths: int =
     if not 0 <= max_hops <= 2 or max_paths < max_seeds:
         raise ValueError("0 to 2 hops, and at least as many paths as seeds")
     adj = adjacency(edges, caps.pop("direction", "both"), caps.pop("predicates", ()))
+    # a path's other nodes may be among the first neighbours, so as many more are kept
+    adj = nearest_neighbors(adj, caps.get("max_neighbors", 16) + max_hops, caps.get("max_edges", 4))
     w = Window.partitionBy(query)
     level = seeds.distinct().withColumn("n", F.count("*").over(w)).withColumn("order", F.row_number().over(w.orderBy("node")).cast("long"))
     level = level.withColumn("node", F.when(F.col("n") > max_seeds, F.raise_error(F.lit("too many seeds")).cast(seeds.schema["node"].dataType)).otherwise(F.col("node")))
