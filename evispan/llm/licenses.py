@@ -54,7 +54,10 @@ SPELLINGS: list[tuple[str, str]] = [
     ("copyright owner", "copyright holder"),
     ("per cent", "percent"),
 ]
-#: A line that is a copyright notice: the word or sign, then whatever names the holder.
+#: A line that is a copyright notice: the sign, or the word followed by a sign, a year or a holder. Words of a licence's body that a wrapped line may
+#: begin with ("copyright notice", "copyright holder", "copyright" by itself) are none.
+HOLDER_LINE = r"(^|\n)[ \t#*/;-]*(\(c\)|©|copyright(ed)?[ \t:,]*(\(c\)|©|\d)|copyright[ \t]*:|copyright[ \t]+(holder|owner)s?[ \t]*:|copyright[ \t]+(?!(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|disclaimers?|interests?|protection|status|and|or|in|is|to|on|as|for)\b)\S)[^\n]*"
+#: The wider pattern of the registered SQL, which has no look-ahead; the two differ only on lines that begin with the word and name no holder.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*"
 
 
@@ -64,7 +67,7 @@ def canonical(text: Column) -> Column:
     The last line break stays until copyright lines are gone, so such a line never takes its neighbour along.
     Native string functions only. Null stays null; a text without letters or digits becomes empty.
     """
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.lower(text), HOLDER_LINE, "\n")
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     out = F.regexp_replace(out, " +", "  ")  # each word has its own two spaces, so neighbours are both replaced
     for pair in SPELLINGS:

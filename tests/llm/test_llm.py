@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -79,6 +80,21 @@ def test_license_digests(spark):
     assert got[3]["licence"] is None and got[4]["digest"] is None and got[4]["n_notices"] == 0
 
 
+def test_wrapped_licenses(spark):
+    """Each known text wrapped at several widths, under a copyright line, also as a comment; a line that begins with the word may belong to the body."""
+    heads = ["Copyright (c) 2020 A\n", "COPYRIGHT 2019, 2020 B. C.\n", "© 2020 A\n", "Copyright The Regents of X\nCopyright: D\n", "Copyright holder: A\n", ""]
+    rows, want = [], {}
+    for n, (name, body) in enumerate(licenses.KNOWN):
+        for width in (12, 30, 48, 60, 66, 72, 78, 100):
+            wrapped = "\n".join(x for line in body.split("\n") for x in textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False))
+            for k, form in enumerate((heads[(n + width) % len(heads)] + wrapped, "# " + wrapped.replace("\n", "\n# "))):
+                want[len(rows)] = name
+                rows.append((len(rows), form))
+    assert any("\ncopyright notice" in t.lower() for _, t in rows) and any("\ncopyright holder" in t.lower() for _, t in rows)
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_toxicity_separates(spark):
     rows = [(i, text(60) + (" vileword gruffy badstem" + R.choice(["o", "a", "en"]) if i % 3 == 0 else "")) for i in range(240)]
     lab = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
