@@ -30,11 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark drops an execution's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back."""
+    """Write ``df`` as Parquet below the shared folder and read it back. Nothing reads the shuffles behind it again, so
+    Spark drops their files as soon as the table is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._evispan_path = path
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,13 +21,27 @@ _NONE = -(2**63)
 @dataclass(frozen=True)
 class Params:
     """``words`` a shingle; two texts are near when their multisets' weighted Jaccard is ``least`` or more; ``bands`` of
-    ``rows`` signature values each. A pair at ``least`` is missed with probability (1 - least**rows)**bands: 5e-8."""
+    ``rows`` signature values each. A pair at ``least`` is missed with probability (1 - least**rows)**bands: 5e-8.
+
+    ``doubt``: members of a bucket are compared only if their signatures agree in as many places as a pair at ``least`` does but for
+    this probability. ``block`` members, or ``weight`` shingles, of a bucket are compared in one piece; memory only."""
 
     words: int = 5
     least: float = 0.8
     bands: int = 32
     rows: int = 4
-    block: int = 64
+    doubt: float = 1e-9
+    block: int = 4096
+    weight: int = 700_000
+
+    def agreeing(self) -> int:
+        """Places in which signatures must agree: the most of which a pair at ``least`` has fewer with probability ``doubt``."""
+        n, below = self.bands * self.rows, 0.0
+        for places in range(n + 1):
+            below += math.comb(n, places) * self.least**places * (1 - self.least) ** (n - places)
+            if below > self.doubt:
+                return places
+        return n
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -181,15 +196,57 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"), "bucket")
 
 
+def _blocks(members: DataFrame, size: str, most: int, *more: str) -> DataFrame:
+    """Members ``bucket, k`` dealt by a hash to blocks of about ``most`` in sum of ``size``, once for each block that theirs
+    meets: ``bucket, i, j, own, k`` and ``more``, sorted in partitions. A bucket of one block is dealt once."""
+    sums = members.groupBy("bucket").agg(F.ceil(F.sum(size) / most).cast("int").alias("blocks"))
+    own = members.join(sums, "bucket").withColumn("own", F.pmod(F.xxhash64("k", F.lit(7)), F.col("blocks")).cast("int"))
+    one = own.where("blocks = 1").select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "own", "k", *more)
+    many = own.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", *more)
+    return one.unionAll(many).repartition(parts(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
+
+
+def _candidates(members: DataFrame, p: Params) -> DataFrame:
+    """Links ``a, b`` that join, in each bucket, those members ``bucket, k, label, sig`` of unlike label whose signatures agree in
+    enough places; a bucket gives fewer links than it has members."""
+    least, width = p.agreeing(), p.bands * p.rows
+
+    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        own, k, label = (np.array([r[c] for r in rows]) for c in range(3))
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, width)
+        two, root, links = own.min() != own.max(), np.arange(len(rows)), []
+        for x in range(1, len(rows)):
+            other = np.flatnonzero((label[:x] != label[x]) & ((own[:x] != own[x]) | (not two)))
+            near = other[(sig[other] == sig[x]).sum(1) >= least]
+            if len(near):
+                roots, first = np.unique(root[near], return_index=True)
+                links += [(int(k[x]), int(k[y])) for y, r in zip(near[first].tolist(), roots.tolist()) if r != root[x]]
+                root[np.isin(root, roots)] = root[x]
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for bucket, i, j, own, k, label, sig in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if (bucket, i, j) != at:
+                    out += flush(rows)
+                    at, rows = (bucket, i, j), []
+                rows.append((own, k, label, sig))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        out = flush(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return _blocks(members.withColumn("one", F.lit(1)), "one", p.block, "label", "sig").mapInArrow(run, "a long, b long")
+
+
 def _compare(members: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
-    """Links between members of unlike label of each bucket, every two compared but those linked already.
+    """Links between members ``bucket, k, label`` of unlike label of each bucket, every two compared but those linked already.
 
     A bucket falls into blocks by a hash of the member; a task compares one block with another (or itself), so it
     holds two blocks however large the bucket is. It gives only links that join what it has not joined yet."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
-    own = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", F.lit(7)), F.col("blocks")).cast("int"))
-    own = own.select("bucket", "k", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "label").join(bags, "k")
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
@@ -224,18 +281,17 @@ def _compare(members: DataFrame, bags: DataFrame, p: Params) -> DataFrame:
         at, rows = None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
             hs, ns = batch.column(6), batch.column(7)
-            for i, (key, own_, k, label) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in (3, 4, 5)))):
-                if key != at:
+            for n, (bucket, i, j, own, k, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+                if (bucket, i, j) != at:
                     out += flush(rows)
-                    at, rows = key, []
-                rows.append((own_, k, label, (hs[i].values.to_numpy(zero_copy_only=False).copy().view(np.uint64), ns[i].values.to_numpy(zero_copy_only=False).copy())))
+                    at, rows = (bucket, i, j), []
+                rows.append((own, k, label, (hs[n].values.to_numpy(zero_copy_only=False).copy().view(np.uint64), ns[n].values.to_numpy(zero_copy_only=False).copy())))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flush(rows)], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    ordered = own.select("bucket", "i", "j", "own", "k", "label", "hs", "ns").repartition(parts(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
-    return ordered.mapInArrow(run, "a long, b long")
+    heavy = members.join(bags, "k").withColumn("size", F.size("hs"))
+    return _blocks(heavy, "size", p.weight, "label", "hs", "ns").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,8 +303,9 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     other. Rows with one id are one node. An empty table gives none; other columns are not looked at.
 
     Equal texts are one row from the signatures on. A bucket's members are first compared with one of them, so a
-    group of copies costs a pair a member, never all pairs; buckets in which more than one component is left are compared
-    with a second member, and what is then still open block by block, so no link within a bucket is lost.
+    group of copies costs a pair a member, never all pairs. Where more than one component is left, members whose signatures are
+    near over component borders (``Params.doubt``) form clusters over all buckets; each cluster is compared block by
+    block, so each multiset goes there once, however many buckets it is in, and no link within a bucket is lost.
     Buckets with equal members count once. Links and labels stay in written tables.
     """
     out = _classes(df, p, id_col, text_col)
@@ -262,19 +319,21 @@ def _classes(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag = Shingler(p.words)
         for batch, own in slices(batches):
-            keys = band_keys(signatures([bag(t) for t in own], p.bands * p.rows), p)
+            sig = signatures([bag(t) for t in own], p.bands * p.rows)
+            keys = band_keys(sig, p)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, p.bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["k", "t", "keys"])
+            short = mix(sig.view(np.uint64)).astype(np.uint8)  # a byte a place is enough to tell far from near
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, pa.array([x.tobytes() for x in short], pa.binary())], ["k", "t", "keys", "sig"])
 
-    signed = cut(keyed.mapInArrow(sign, "k long, t binary, keys array<long>"), "signed")
-    same = cut(signed.groupBy("t").agg(F.min("k").alias("text_k"), F.first("keys").alias("keys")), "texts")
+    signed = cut(keyed.mapInArrow(sign, "k long, t binary, keys array<long>, sig binary"), "signed")
+    same = cut(signed.groupBy("t").agg(F.min("k").alias("text_k"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "texts")
     rows = same.select(F.col("text_k").alias("k"), F.explode("keys").alias("key"))
     # what tells a bucket's members: their number, least and mixed hash; one of the buckets with equal members stays
     kinds = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.bit_xor(F.xxhash64("k")).alias("mixed")).where("n > 1")
     chosen = kinds.groupBy("n", "least", "mixed").agg(F.min("key").alias("key"))
     members = cut(rows.join(chosen.select("key", F.col("least").alias("pivot")), "key").select(F.col("key").alias("bucket"), "k", "pivot"), "members")
 
-    wanted = members.select("k").distinct()
+    wanted = members.select("k").distinct().join(same.select(F.col("text_k").alias("k"), "t"), "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag = Shingler(p.words)
@@ -285,29 +344,22 @@ def _classes(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values[0].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(values[1].astype(np.int32)))], ["k", "hs", "ns"])
 
     # the text of one row an id: of rows with one id and unlike texts, the one whose text_k it is
-    first = keyed.join(same.select(F.col("text_k").alias("k"), "t"), ["k", "t"], "left_semi").join(wanted, "k", "left_semi").select("k", "text")
+    first = keyed.join(wanted, ["k", "t"], "left_semi").select("k", "text")
     bags = cut(first.mapInArrow(count, "k long, hs array<long>, ns array<int>"), "bags")
 
     links = [cut(_verified(members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct(), bags, p), "links")]
     labels = [components(links[0])]
-    now = cut(_open(_relabel(members.select("bucket", "k", F.col("k").alias("label")), labels[0])), "open")
-    tables = [signed, members, *links, now]
-    if now.limit(1).count():
-        second = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k"), "k", "label")).alias("x")).select("bucket", F.col("x.k").alias("pivot"), F.col("x.label").alias("pivot_label"))
-        pairs = now.join(second, "bucket").where("label <> pivot_label").select(F.least("k", "pivot").alias("b"), F.greatest("k", "pivot").alias("a"), "k", "label", "pivot", "pivot_label").dropDuplicates(["a", "b"])
-        pairs = cut(pairs, "pairs")
-        found = _verified(pairs.select("a", "b"), bags, p).join(pairs, ["a", "b"]).select(F.col("label").alias("a"), F.col("pivot_label").alias("b"))
-        labels.append(components(found))
-        later = cut(_open(_relabel(now, labels[1])), "open")
-        tables += [pairs, later]
-        if later.limit(1).count():
-            labels.append(components(_compare(later, bags, p)))
+    now = _open(_relabel(members.select("bucket", "k", F.col("k").alias("label")), labels[0]))
+    clusters = components(_candidates(now.join(same.select(F.col("text_k").alias("k"), "sig"), "k").select("bucket", "k", "label", "sig"), p))
+    if clusters.limit(1).count():
+        own = _relabel(clusters.select(F.col("label").alias("bucket"), F.col("node").alias("k"), F.col("node").alias("label")), labels[0])
+        labels.append(components(_compare(own, bags, p)))
     # class of each distinct text: labels of labels, then over all rows
     out = same.select("t", "text_k", F.col("text_k").alias("label"))
     for x in labels:
         out = out.join(x.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("t", "text_k", F.coalesce("to", "label").alias("label"))
     result = cut(signed.select("k", "t").join(out, "t").select("k", "t", "text_k", "label"), "classes")
-    drop_cut(*tables, *labels, same, bags)
+    drop_cut(signed, members, clusters, *links, *labels, same, bags)
     return result
 
 
