@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -114,10 +113,56 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 _MARKS = "k1 long, k2 long, start long, end long"
 
 
-def _release(spark) -> None:
-    """Let Spark drop shuffle files of finished jobs now rather than when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Occurrences from which on an anchor's contexts are dealt to tasks by wider anchors.
+HOT = 1000
+
+#: Contexts of an anchor: (place of the anchor in the bytes, bytes) -> first place (k1, k2, start).
+Contexts = dict[tuple[int, bytes], tuple[int, int, int]]
+
+
+def settle(own: Contexts, off: int, ctx: bytes, place: tuple[int, int, int]) -> tuple | None:
+    """Add an occurrence of a context; of two, the later is repeated as a whole and returned with its end."""
+    before = own.setdefault((off, ctx), place)
+    if before == place:  # new, or a repeated row met itself
+        return None
+    own[off, ctx], late = (before, place) if before <= place else (place, before)
+    return (*late, late[2] + len(ctx))
+
+
+def narrowed(ctx: bytes, off: int, start: int, width: int, length: int) -> Iterator[tuple[bytes, bytes, int, int, int]]:
+    """The windows of a context, dealt to wider anchors: (what the anchor grew by, bytes, place of the wider anchor, start, width).
+
+    A window holds the anchor and ``length - width`` bytes more, of which half or more lie before it, or else over half
+    behind it. So each window belongs to the anchor with that stretch on the one side, by its content alone.
+    """
+    before = -(-(length - width) // 2)
+    last = min(off - before, len(ctx) - length)  # last window with so many bytes before the anchor
+    if last >= 0:
+        yield b"<" + ctx[off - before : off], ctx[: last + length], off - before, start, width + before
+    behind, first = length - width - before + 1, max(0, off - before + 1)
+    if first <= len(ctx) - length:
+        yield b">" + ctx[off + width : off + width + behind], ctx[first:], off - first, start + first, width + behind
+
+
+def groups_of(own: Contexts, width: int, length: int, most: int, marks: list[tuple]) -> Iterator[Contexts]:
+    """Groups of an anchor's contexts that may have windows in common, each of ``most`` bytes or fewer.
+    The anchor is widened once, and again while the group is too large; who is alone with a wider one leaves. What is found
+    repeated as a whole goes to ``marks``."""
+    by: dict[tuple[int, bytes], Contexts] = {}
+    for (off, ctx), (k1, k2, start) in own.items():
+        for grown, sub, at, a, wide in narrowed(ctx, off, start, width, length):
+            if late := settle(by.setdefault((wide, grown), {}), at, sub, (k1, k2, a)):
+                marks.append(late)
+    for (wide, _), group in by.items():
+        if len(group) > 1:  # never where the anchor is the window: all are equal then
+            if sum(len(ctx) for _, ctx in group) > most:
+                yield from groups_of(group, wide, length, most, marks)
+            else:
+                yield group
+
+
+def _wider(h: int, grown: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(grown, digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
 def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,8 +173,10 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
        Anchors in one document only and once there are dropped by a count (a row a task and anchor) and a semi join.
     2. Every other anchor's occurrence gives a context, the bytes of its windows. Equal contexts leave the first; the others
        are repeated as a whole. This is done in each task before the shuffle, so a passage in very many
-       documents reaches the shuffle once a task.
-    3. Where an anchor has several contexts, they go, with those of other anchors, into a Burrows-Wheeler transform, and
+       documents reaches the shuffle once a task. Contexts of a frequent anchor (``HOT``) are dealt by wider anchors, so a common line
+       with unlike neighbours spreads over tasks.
+    3. Where an anchor has several contexts, the anchor is widened to one side or the other, by which most contexts that only
+       share a phrase leave. The others go, with those of other anchors, into a Burrows-Wheeler transform, and
        interval expansion up to ``length`` gives the groups of equal windows; all but the first of each are repeated.
 
     Sums of sizes: texts are shuffled once, contexts once. Nothing is collected; a task holds its share of contexts.
@@ -165,38 +212,38 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             key = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(), n))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), key(0), key(1)], ["h", "k1", "k2"])
 
-    repeated = cut(keyed.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
-    _release(spark)
-    found = keyed.mapInArrow(occurrences, "h long, k1 long, k2 long").join(repeated, "h", "left_semi")
-    lists = cut(found.groupBy("k1", "k2").agg(F.collect_list("h").alias("hs")), "found")  # a document's own anchors
-    _release(spark)
+    repeated = cut(keyed.select("text").mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") >= HOT).alias("hot")), "anchors")
+    found = keyed.mapInArrow(occurrences, "h long, k1 long, k2 long").join(repeated, "h")
+    # a document's own anchors, and those of them that are frequent
+    lists = cut(found.groupBy("k1", "k2").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot")), "found")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in slices(batches, most=4_000_000):
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = batch.column(3)
-            first: dict[tuple[int, bytes], tuple] = {}
+            wanted, frequent = batch.column(3), batch.column(4)
+            first: dict[tuple[int, int], Contexts] = {}
             marks: dict[tuple[int, int], list] = {}
-            for i in sorted(range(len(own)), key=lambda i: (k1[i], k2[i])):
+            for i in range(len(own)):
                 raw, h, at, lo, hi = of(own[i])
-                use = np.flatnonzero(np.isin(h.view(np.int64), wanted[i].values.to_numpy()))
-                for j, a, b, c in zip(use.tolist(), at[use].tolist(), lo[use].tolist(), hi[use].tolist()):
-                    key = (a - b, raw[b : c + length])
-                    if key not in first:
-                        first[key] = (int(h[j].view(np.int64)), k1[i], k2[i], b)
-                    elif first[key][1:] != (k1[i], k2[i], b):  # else a repeated row met itself
-                        marks.setdefault((k1[i], k2[i]), []).append((b, c + length))
-            rows = [(h, a, b, lo, None, off, ctx) for (off, ctx), (h, a, b, lo) in first.items()]
+                own_h = h.view(np.int64)
+                use = np.flatnonzero(np.isin(own_h, wanted[i].values.to_numpy()))
+                hot = np.isin(own_h[use], frequent[i].values.to_numpy())
+                for h, a, b, c, often in zip(own_h[use].tolist(), at[use].tolist(), lo[use].tolist(), hi[use].tolist(), hot.tolist()):
+                    ctx = raw[b : c + length]
+                    for group, sub, off, start, wide in ((_wider(h, x[0]), *x[1:]) for x in narrowed(ctx, a - b, b, WIDTH, length)) if often else ((h, ctx, a - b, b, WIDTH),):
+                        if late := settle(first.setdefault((group, wide), {}), off, sub, (k1[i], k2[i], start)):
+                            marks.setdefault(late[:2], []).append(late[2:])
+            rows = [(h, *place, None, off, wide, ctx) for (h, wide), found in first.items() for (off, ctx), place in found.items()]
             for (a, b), spans in marks.items():
-                rows += [(b, a, b, s, e, None, None) for s, e in merge(spans)]
+                rows += [(b, a, b, s, e, None, None, None) for s, e in merge(spans)]
             yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], ["h", "k1", "k2", "start", "end", "off", "ctx"])
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 8, kinds)], ["h", "k1", "k2", "start", "end", "off", "wide", "ctx"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, dict[tuple[int, bytes], tuple]] = {}
+        groups: dict[tuple[int, int], Contexts] = {}
         marks: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -205,36 +252,32 @@ def repeated_spans(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             return got
 
         for batch in batches:
-            for h, k1, k2, start, end, off, ctx in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for h, k1, k2, start, end, off, wide, ctx in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if ctx is None:
                     marks.append((k1, k2, start, end))
-                    continue
-                own, key, now = groups.setdefault(h, {}), (off, ctx), (k1, k2, start)
-                if (before := own.get(key)) is None:
-                    own[key] = now
-                elif before != now:  # else a repeated row met itself
-                    own[key], late = (before, now) if before <= now else (now, before)
-                    marks.append((*late, late[2] + len(ctx)))
+                elif late := settle(groups.setdefault((h, wide), {}), off, ctx, (k1, k2, start)):
+                    marks.append(late)
             if len(marks) > 200_000:
                 yield out()
         pending: list[tuple] = []
         size = 0
-        for own in groups.values():
-            if len(own) > 1:
-                pending += [(ctx, place) for (_, ctx), place in own.items()]
-                size += sum(len(ctx) + 1 for _, ctx in own)
-            if size > BATCH:
-                marks += _again(pending, length)
-                pending, size = [], 0
-                yield out()
+        for (_, wide), own in groups.items():
+            if len(own) < 2:
+                continue
+            for group in groups_of(own, wide, length, BATCH, marks):
+                pending += [(ctx, place) for (_, ctx), place in group.items()]
+                size += sum(len(ctx) + 1 for _, ctx in group)
+                if size > BATCH:
+                    marks += _again(pending, length)
+                    pending, size = [], 0
+                    yield out()
         if pending:
             marks += _again(pending, length)
         yield out()
 
-    rows = keyed.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "hs").mapInArrow(contexts, "h long, k1 long, k2 long, start long, end long, off long, ctx binary")
+    rows = keyed.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "hs", "hot").mapInArrow(contexts, "h long, k1 long, k2 long, start long, end long, off long, wide long, ctx binary")
     marks = cut(rows.repartition(parts(spark), "h").mapInArrow(resolve, _MARKS), "spans")
     drop_cut(repeated, lists)
-    _release(spark)
     return marks
 
 
