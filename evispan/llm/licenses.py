@@ -41,6 +41,23 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+#: Digests of the canonical form of longer public licence texts, as widely distributed with systems.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37"),
+    ("Apache-2.0", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c"),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
 #: Spellings held equal, (spelling, what stands for it), as lower-case words.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"),
@@ -80,10 +97,15 @@ def digest(text: Column) -> Column:
     return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
-def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Table (digest, licence), one row a digest. Its size is that of the given list, so it may be broadcast."""
-    df = spark.createDataFrame(known, "licence string, body string")
-    return df.select(digest(F.col("body")).alias("digest"), "licence").where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
+def known_digests(spark, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """Table (digest, licence), one row a digest, of texts and of digests. Its size is that of the given lists, so it may be broadcast."""
+    df = spark.createDataFrame(known, "licence string, body string").select(digest(F.col("body")).alias("digest"), "licence").where("digest is not null")
+    return _one_each(df.unionAll(spark.createDataFrame([(d, name) for name, d in digests], "digest string, licence string")))
+
+
+def _one_each(known: DataFrame) -> DataFrame:
+    """One row a digest: of several licences under it, the first by name."""
+    return known.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,12 +115,12 @@ def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
     ``licence`` (of the whole text; null if unknown), ``n_notices`` (lines that are a known licence or
     notice by themselves), ``notices`` (their licences, sorted, no repeats). A null text has a null digest
     and no notices; repeated rows each give a row; an empty table gives none; columns other than the two
-    named are not looked at. ``known`` (digest, licence) is broadcast: its size is that of a licence list
+    named are not looked at. Of several licences under one digest the first by name counts. ``known`` (digest, licence) is broadcast: its size is that of a licence list
     and doesn't grow with the documents. No shuffle: both lookups are broadcast hash joins, the lines'
     as a lookup in a constant map, so rows are neither multiplied nor regrouped and no key can be hot.
     """
     spark = df.sparkSession
-    known = known_digests(spark) if known is None else known
+    known = known_digests(spark) if known is None else _one_each(known)
     found = sorted((r["digest"], r["licence"]) for r in known.collect())  # the licence list, not the documents
     table = F.create_map(*[F.lit(x) for pair in found for x in pair]) if found else F.create_map(F.lit(""), F.lit(None).cast("string"))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -82,9 +82,12 @@ def _canonical(text: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     known = ", ".join(f"({_quoted(name)}, {_quoted(body)})" for name, body in licenses.KNOWN)
+    digests = ", ".join(f"({_quoted(name)}, {_quoted(d)})" for name, d in licenses.DIGESTS)
     return {
         "op1_license_scan": f"""
-WITH known AS (SELECT sha256({_canonical('body')}) AS digest, min(licence) AS licence FROM (VALUES {known}) AS k(licence, body) GROUP BY 1),
+WITH known AS (SELECT digest, min(licence) AS licence FROM (
+    SELECT licence, sha256({_canonical('body')}) AS digest FROM (VALUES {known}) AS k(licence, body)
+    UNION ALL SELECT * FROM (VALUES {digests}) AS d(licence, digest)) GROUP BY 1),
 whole AS (SELECT doc_id, CASE WHEN {_canonical('text')} <> '' THEN sha256({_canonical('text')}) END AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 hits AS (SELECT l.doc_id, k.licence FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM lines) l JOIN known k USING (digest)),
