@@ -50,12 +50,14 @@ def _pairs(x: np.ndarray) -> np.ndarray:
 def nodes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
     """Distinct vectors: ``node`` (the least id that has it) and ``v`` (its numbers as bytes); and the dimension.
 
-    Vectors whose length isn't that of the least id's take no part, as no distance to them is defined.
+    Vectors whose length isn't the commonest one (of equally common ones the least) take no part, as no distance between
+    unlike lengths is defined.
     """
     rows = usable(df, id_col, vector_col)
-    first = rows.agg(F.min_by(F.size("e"), "id").alias("n")).first()["n"]
-    if first is None:
+    common = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not common:
         return df.sparkSession.createDataFrame([], "node long, v binary"), 0
+    first = common[0]["n"]
     return cut(_packed(rows, first).groupBy("v").agg(F.min("id").alias("node")).select("node", "v"), "nodes"), first
 
 
