@@ -22,15 +22,14 @@ MEMO = 500_000
 @dataclass(frozen=True)
 class Band:
     """Which terms count. A term's document frequency must be from ``least`` to ``most`` of all documents, that is
-    its inverse document frequency from -ln(most) to -ln(least); of those, the ``size`` most frequent at most.
+    its inverse document frequency from -ln(most) to -ln(least).
 
-    ``size`` bounds the lexicon, and so what is broadcast, at any number of documents; but for very long documents it
-    doesn't bind, as at most (mean distinct terms) / ``least`` terms reach ``least``.
+    ``least`` bounds the lexicon, and so what is broadcast, at any number of documents: frequencies add up to the documents'
+    distinct terms, so no more than (mean distinct terms of a document) / ``least`` terms reach it.
     """
 
     least: float = 0.005
     most: float = 0.05
-    size: int = 250_000
 
 
 #: Share of the lexicon in each random subset. Small subsets outlive large edits, large ones tell documents apart.
@@ -84,11 +83,10 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lexicon(df: DataFrame, band: Band = Band(), text_col: str = "text") -> list[str]:
-    """The band's terms, sorted; ``band.size`` at most. Fewer than two documents have none."""
+    """The band's terms, sorted; ``Band`` says how many there can be. Fewer than two documents have none."""
     n = df.count()
     counts = document_frequencies(df, text_col).where((F.col("df") >= F.lit(max(2.0, band.least * n))) & (F.col("df") <= F.lit(max(2.0, band.most * n))))
-    kept = counts.orderBy(F.desc("df"), "term").limit(band.size).select("term").toArrow()
-    return sorted(kept.column(0).to_pylist())
+    return sorted(counts.select("term").toArrow().column(0).to_pylist())
 
 
 class Fingerprinter:
