@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -11,27 +10,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from evispan.llm._common import cut, drop_cut, slices
 
 _WORD = re.compile(r"\w+")
 #: Entries of a task's table of units before it is emptied: memory only, never a result.
-MEMO = 500_000
+MEMO = 200_000
 
 
 @dataclass(frozen=True)
 class Params:
     """Bounds of what is fitted on labelled rows, and the vote.
 
-    ``positives`` and ``negatives``: labelled examples kept at most, by hash of their id. ``terms``: terms at most, those
-    that tell the labels apart most surely: by the log odds ratio less 1.5 standard errors, ``least_odds`` at least. ``stems``: lengths of
-    word beginnings that are terms beside whole words. ``k`` neighbours vote by their cosine; ``prior_weight`` is
+    ``positives`` and ``negatives``: labelled examples kept at most, by hash of their id. ``least_odds``: terms are all those of the
+    examples whose log odds ratio for the label, less 1.5 standard errors, is so large; there is no bound on their number but the
+    examples'. ``stems``: lengths of word beginnings that are terms beside whole words. ``k`` neighbours vote by their cosine; ``prior_weight`` is
     that of the base rate among them. ``block``: examples a block of the index.
     """
 
     positives: int = 3000
     negatives: int = 7000
-    terms: int = 2048
     least_odds: float = 1.0
     stems: tuple[int, ...] = (5, 6)
     k: int = 15
@@ -71,9 +70,15 @@ class Units:
             out.append((u, rows))
         return out
 
-
-def _hash(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little", signed=True)
+    def counts(self, text: str) -> dict[int, int]:
+        """Rows of the lexicon that a text has, and how often."""
+        units, tf = text.split(), Counter()
+        if hits := self(units):
+            times = Counter(units)
+            for u, rows in hits:
+                for r in rows:
+                    tf[r] += times[u]
+        return tf
 
 
 def is_held_out(key: Column) -> Column:
@@ -132,12 +137,12 @@ class BlockMaxIndex:
 class Model:
     """Examples, term weights and calibration; small enough to broadcast, as ``Params`` bounds each."""
 
-    def __init__(self, p: Params, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], rate: float):
+    def __init__(self, p: Params, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], rate: float):
         self.p, self.rate = p, min(max(rate, 1e-4), 1 - 1e-4)
         self.row = {t: i for i, t in enumerate(terms)}
         self.units = Units(self.row, p.stems)
         self.idf = idf
-        made = [(key, y, self.vector(Counter({self.row[t]: c for t, c in tf.items() if t in self.row}))) for key, y, tf in examples]
+        made = [(key, y, self.vector(tf)) for key, y, tf in examples]
         made = [x for x in made if len(x[2][0])]
         # alike examples share a block, so that bounds are tight
         made.sort(key=lambda x: (*x[2][0][np.argsort(-x[2][1], kind="stable")][:3].tolist(), x[0]))
@@ -145,7 +150,7 @@ class Model:
         self.index = BlockMaxIndex([x[2] for x in made], len(terms), p.block)
         self.a, self.b = 1.0, 0.0
         # examples without a term vote like any text without: by the base rate alone
-        rest = Counter(y for _, y, tf in examples if not any(t in self.row for t in tf))
+        rest = Counter(y for _, y, tf in examples if not tf)
         votes = np.array([self.vote(*x[2], skip=i)[0] for i, x in enumerate(made)] + [self.rate] * (rest[0] + rest[1]))
         y = np.concatenate([self.y, np.ones(rest[1]), np.zeros(rest[0])])
         if 0 < y.sum() < len(y):
@@ -153,7 +158,7 @@ class Model:
             w = np.where(y == 1, self.rate / y.mean(), (1 - self.rate) / (1 - y.mean()))
             self.a, self.b = logistic(logit(votes), y, w)
 
-    def vector(self, tf: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         rows = np.array(sorted(tf), np.int64)
         w = (1 + np.log(np.array([tf[r] for r in rows.tolist()], float))) * self.idf[rows] if len(rows) else np.empty(0)
         norm = np.sqrt((w * w).sum())
@@ -166,12 +171,7 @@ class Model:
 
     def __call__(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of a whole text and its three nearest examples: id, label, cosine."""
-        units, tf = text.split(), Counter()
-        if hits := self.units(units):
-            times = Counter(units)
-            for u, rows in hits:
-                for r in rows:
-                    tf[r] += times[u]
+        tf = self.units.counts(text)
         share, near, sim = self.vote(*self.vector(tf)) if tf else (self.rate, (), ())
         score = float(1 / (1 + np.exp(-(self.a * logit(share) + self.b))))
         return score, [(self.ids[i], int(self.y[i]), float(s)) for i, s in zip(near[:3], sim[:3])]
@@ -195,21 +195,31 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return max(float(theta[0]), 0.0), float(theta[1])
 
 
-def _term_rows(rows: DataFrame, p: Params, kind: str) -> DataFrame:
-    """For each of a bounded number of rows, its terms and how often it has each."""
+def _document_frequencies(rows: DataFrame, p: Params) -> DataFrame:
+    """Of each term, the numbers of examples with each label that have it: ``t, a`` (label 1) and ``b`` (label 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in slices(batches):
-            tfs = []
-            for text in own:
-                tf: Counter = Counter()
-                for u, c in Counter(text.split()).items():
-                    for t in unit_terms(u, p.stems):
-                        tf[t] += c
-                tfs.append(Counter({_hash(t): c for t, c in tf.items()}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(t) for t in tfs], pa.list_(pa.int64())), pa.array([list(t.values()) for t in tfs], pa.list_(pa.int32()))], ["doc_id", "y", "terms", "counts"])
+            n: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, y in zip(own, batch.column(0).to_pylist()):
+                n[y].update({t for u in set(text.split()) for t in unit_terms(u, p.stems)})
+            terms = list(n[0].keys() | n[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([n[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["t", "a", "b"])
+
+    return rows.select("y", "text").mapInArrow(run, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-    return rows.mapInArrow(run, f"doc_id {kind}, y int, terms array<long>, counts array<int>")
+
+def _vectors(rows: DataFrame, terms: list[str], p: Params, kind: str) -> DataFrame:
+    """For each example, the numbers of its terms that were selected and how often it has each."""
+    lex = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(lex.value, p.stems)
+        for batch, own in slices(batches):
+            tfs = [units.counts(t) for t in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(t) for t in tfs], pa.list_(pa.int32())), pa.array([list(t.values()) for t in tfs], pa.list_(pa.int32()))], ["doc_id", "y", "terms", "counts"])
+
+    return rows.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, terms array<int>, counts array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -225,47 +235,22 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     sample = draw(1, p.positives).unionByName(draw(0, p.negatives))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sampled = cut(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]), "labelled")
-    found = _term_rows(sampled, p, kind).toArrow()
-    keys, ys = found.column("doc_id").to_pylist(), found.column("y").to_pylist()
-    order = sorted(range(len(keys)), key=lambda i: keys[i])
-    per = [(keys[i], ys[i], found.column("terms")[i].values.to_numpy(), found.column("counts")[i].values.to_numpy()) for i in order]
-    n = {y: sum(x[1] == y for x in per) for y in (0, 1)}
-    df = {y: np.unique(np.concatenate([x[2] for x in per if x[1] == y] or [np.empty(0, np.int64)]), return_counts=True) for y in (0, 1)}
-    terms, a = df[1]
-    at = np.searchsorted(df[0][0], terms)
-    at_ok = np.minimum(at, max(len(df[0][0]) - 1, 0))
-    b = np.where(df[0][0][at_ok] == terms, df[0][1][at_ok], 0) if len(df[0][0]) else np.zeros(len(terms))
-    odds = lambda x, m: np.log((x + 0.5) / (m - x + 0.5))
-    error = np.sqrt(1 / (a + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (b + 0.5) + 1 / (n[0] - b + 0.5))
-    sure = odds(a, n[1]) - odds(b, n[0]) - 1.5 * error
-    best = np.lexsort((terms, -sure))[: p.terms]
-    kept = np.sort(terms[best[sure[best] >= p.least_odds]])
-    spelt = _spelling(sampled, kept, p)
+    sampled = cut(rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")), "labelled")
+    n = {r["y"]: r["n"] for r in sampled.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    odds = lambda c, y: F.log((F.col(c) + 0.5) / (n.get(y, 0) - F.col(c) + 0.5))
+    error = F.sqrt(sum((1 / (F.col(c) + 0.5) + 1 / (n.get(y, 0) - F.col(c) + 0.5) for c, y in (("a", 1), ("b", 0))), F.lit(0.0)))
+    lex = sorted(r["t"] for r in _document_frequencies(sampled, p).where("a > 0").where(odds("a", 1) - odds("b", 0) - 1.5 * error >= p.least_odds).select("t").collect())
+    found = _vectors(sampled, lex, p, kind).toArrow()
     drop_cut(sampled)
-    lex = sorted(spelt.values())
+    keys, ys = found.column("doc_id").to_pylist(), found.column("y").to_pylist()
+    per = found.column("terms").to_pylist(), found.column("counts").to_pylist()
+    examples = [(keys[i], ys[i], dict(zip(per[0][i], per[1][i]))) for i in sorted(range(len(keys)), key=lambda i: keys[i])]
     total, freq = _frequencies(rows, lex, p)
     idf = np.log((1 + total) / (1 + freq)) + 1
-    examples = [(key, y, {spelt[t]: c for t, c in zip(ts.tolist(), cs.tolist()) if t in spelt}) for key, y, ts, cs in per]
     labelled = sum(counts.values())
     return Model(p, lex, idf, examples, counts.get(1, 0) / labelled if labelled else 0.01)
 
 
-def _spelling(sampled: DataFrame, kept: np.ndarray, p: Params) -> dict[int, str]:
-    """The terms behind the selected hashes."""
-    own = sampled.sparkSession.sparkContext.broadcast(set(kept.tolist()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        for _, texts in slices(batches):
-            new = {t for u in {u for text in texts for u in text.split()} for t in unit_terms(u, p.stems)} - seen
-            new = {t for t in new if _hash(t) in own.value}
-            seen |= new
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["t"])
-
-    return {_hash(r["t"]): r["t"] for r in sampled.select("text").mapInArrow(run, "t string").distinct().collect()}
-
-
 def _frequencies(rows: DataFrame, terms: list[str], p: Params) -> tuple[int, np.ndarray]:
     """Number of all documents, and of those with each of the (bounded) terms. A task passes on one row a term."""
     lex = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
@@ -295,16 +280,23 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
     the base rate of 0.01. One pass without shuffle; the broadcast model is bounded by ``Params``.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p, id_col, text_col))
-    key = F.col(id_col)
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), key.alias("doc_id"), is_held_out(key).alias("held_out"), F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry or [id_col])]).alias("row"))
+    key, carried = F.col(f"`{id_col}`"), docs.columns if carry is None else carry or [id_col]
+    # the text goes to Python once, and comes back only if it is carried
+    whole = docs.schema[text_col].dataType == StringType() and text_col in carried
+    text = F.col(f"`{text_col}`") if whole else F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rest = [F.col(f"`{c}`") for c in carried if not (whole and c == text_col)]
+    rows = docs.select(text.alias("text"), key.alias("doc_id"), is_held_out(key).alias("held_out"), F.struct(*rest, F.lit(0).alias("_")).alias("row"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     scored = pa.struct([("example", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch, own in slices(batches):
-            got = [m(t) for t in own]
+            got = [m(t or "") for t in own]
             evidence = pa.array([[{"example": str(i), "label": y, "cosine": s} for i, y, s in e] for _, e in got], pa.list_(scored))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= p.threshold) for s, _ in got], pa.int32()), evidence], ["doc_id", "held_out", "row", "score", "predicted", "evidence"])
+            arrays = [batch.column(1), batch.column(2), batch.column(3), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= p.threshold) for s, _ in got], pa.int32()), evidence]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(0)] * whole, ["doc_id", "held_out", "row", "score", "predicted", "evidence"] + ["text"] * whole)
 
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, held_out boolean, row {kinds['row']}, score double, predicted int, evidence array<struct<example:string,label:int,cosine:double>>")
+    out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, held_out boolean, row {kinds['row']}, score double, predicted int, evidence array<struct<example:string,label:int,cosine:double>>" + ", text string" * whole)
+    back = F.struct(*[(F.col("text") if whole and c == text_col else F.col(f"row.`{c}`")).alias(c) for c in carried])
+    return out.select("doc_id", "held_out", back.alias("row"), "score", "predicted", "evidence")
