@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import textwrap
 import zlib
@@ -80,6 +81,30 @@ def test_license_digests(spark):
     assert got[3]["licence"] is None and got[4]["digest"] is None and got[4]["n_notices"] == 0
 
 
+def test_longer_licenses_and_clashing_digests(spark):
+    """Whole texts as the system has them, indented, in capitals, with other line ends; two licences under one digest."""
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], []
+    for name, file in names.items():
+        if os.path.exists(f"{folder}/{file}"):
+            body = open(f"{folder}/{file}", encoding="utf-8").read()
+            for t in (body, body.upper(), body.replace("\n", "\r\n   "), body + " x"):
+                rows.append((len(rows), t))
+                want.append(None if t.endswith(" x") else name)
+    got = {r["doc_id"]: r["licence"] for r in licenses.scan(docs(spark, rows or [(0, None)])).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    d = docs(spark, [(1, "some words")])
+    known = d.select(licenses.digest(F.col("text")).alias("digest"), F.explode(F.array(F.lit("B"), F.lit("A"))).alias("licence"))
+    assert [r["licence"] for r in licenses.scan(d, known).collect()] == ["A"]
+
+
+def test_neighbours_of_the_commonest_dimension(spark):
+    rows = [(0, [1.0, 2.0])] + [(i, [R.random() for _ in range(4)]) for i in range(1, 220)]
+    got = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["query_id"] for r in got} == {100, 200} and all(r["vec_id"] != 0 for r in got) and len(got) == 20
+
+
 def test_wrapped_licenses(spark):
     """Each known text wrapped at several widths, under a copyright line, also as a comment; a line that begins with the word may belong to the body."""
     heads = ["Copyright (c) 2020 A\n", "COPYRIGHT 2019, 2020 B. C.\n", "© 2020 A\n", "Copyright The Regents of X\nCopyright: D\n", "Copyright holder: A\n", ""]
@@ -151,9 +176,36 @@ def test_word_ids_equal_library():
     tok, enc = Tokenizer.from_file(WORD), packing.WordEncoder(WORD, 1)
     odd = ["İ", "İ,", "İİ.", "ŉa", "ΣΑΣ", "ΣΑΣ;", "ǅabc", "ﬁne", "ª", "ͅa", "अि", "ไทย,", "don't", "we've.", "12,5", "a\x1cb", "x.y,", "...", "a.,", "½", "Ⅷ", "e\u0301", "e\u0301,", "𐐀𐐁,", "\u0130\u0301", "<|startoftext|>", "한글", "각."]
     texts = odd + [" ".join(R.sample(odd + WORDS, 40)) for _ in range(60)] + [" ".join(odd[:14])]
-    want = [np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
-    assert enc(texts) == want and [enc([t])[0] for t in texts] == want
-    assert [packing.WordEncoder(WORD, 1)([t])[0] for t in texts[:5]] == want[:5]
+    want = [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert [x.tolist() for x in enc(texts)] == want and [enc([t])[0].tolist() for t in texts] == want
+    assert [packing.WordEncoder(WORD, 1)([t])[0].tolist() for t in texts[:5]] == want[:5]
+
+
+def test_word_ids_equal_library_for_every_letter_of_the_common_blocks():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(WORD), packing.WordEncoder(WORD, 1)
+    texts = [" ".join(f"{c} a{c} {c}b a{c}. A{c}'s {c}{c}!?" for c in map(chr, range(i, i + 64))) for i in [*range(0, 0xD800, 64), *range(0x10000, 0x11000, 64), *range(0x1E900, 0x1F200, 64)]]
+    want = [e.ids + [1] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 50):
+        assert [x.tolist() for x in enc(texts[a : a + 50])] == want[a : a + 50]
+
+
+def test_best_fit_places_each_item_once_over_many_ranges(spark, monkeypatch):
+    """Small ranges: most matches go across them, and what the driver works out of a round must hold in the next one."""
+    monkeypatch.setattr(packing, "RANGE", 60)
+    seen = []
+    after = packing._Tally.after
+    monkeypatch.setattr(packing._Tally, "after", lambda self: seen.append(after(self)) or seen[-1])
+    for sizes in ([R.randint(1, 100) for _ in range(700)], [51] * 90 + [49] * 40, [100] * 30 + [1] * 30, [34] * 61):
+        seen.clear()
+        got = packing.best_fit(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"), 100).collect()
+        used = Counter()
+        for r in got:
+            used[r["seq"]] += sizes[r["id"]]
+        assert sorted(r["id"] for r in got) == list(range(len(sizes))) and max(used.values()) <= 100
+        assert not seen[-1][0] and all(a[0].total() > b[0].total() for a, b in zip(seen, seen[1:]))
+    assert len(used) == 31  # three a sequence, and the bound says no fewer
 
 
 def test_best_fit_is_near_the_bound(spark):
@@ -167,7 +219,8 @@ def test_best_fit_is_near_the_bound(spark):
     assert same.groupBy("seq").count().where("count > 1").count() == 0
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("p", [bagminhash.Params(), bagminhash.Params(block=3, weight=500)], ids=["whole", "blocks"])
+def test_near_duplicates_against_brute_force(spark, p):
     base = [text(120).split() for _ in range(12)]
     rows = []
     for words in base:
@@ -177,7 +230,7 @@ def test_near_duplicates_against_brute_force(spark):
                 w[R.randrange(len(w))] = R.choice(WORDS)
             rows.append(" ".join(w))
     pairs = list(enumerate([*rows, "", None, "...", "two words"]))
-    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs(spark, pairs)).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs(spark, pairs), p).collect()}
     sh = bagminhash.Shingler(5)
     bags, up = {i: sh(t) for i, t in plain(pairs)}, {i: i for i, _ in pairs}
 
@@ -193,7 +246,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_compare_joins_open_buckets(spark):
     """Chains in one bucket: only neighbours are near, the bucket spans several blocks."""
-    p = bagminhash.Params(block=8)
+    p = bagminhash.Params(weight=8 * 40)
     n = 40
     bag = spark.createDataFrame([(i, list(range(i * 2, i * 2 + 40)), [1] * 40) for i in range(n)], "k long, hs array<long>, ns array<int>")
     members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("k"), F.col("id").alias("label"))
