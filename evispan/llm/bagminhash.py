@@ -150,21 +150,28 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """Connected components of links ``a, b``: ``node, label``, the least node of each. Labels spread over links and jump along
-    labels, so rounds are about the logarithm of the longest path; each round's labels are a written table."""
-    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = cut(edges.select(F.inline(both).alias("a", "b")).distinct(), tag)
-    now = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), tag)
+    """Connected components of links ``a, b``: ``node, label``, the least node of each; a node linked to itself alone isn't listed.
+
+    Rounds: each node points to its least neighbour or itself, pointers are followed twice, and links are drawn anew
+    between what they lead to, without those that have become one. So links go down fast, and rounds are about the logarithm of the
+    longest path. A round's pointers and links are written tables."""
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+    both, now = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))), None
     while True:
-        near = links.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = now.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        new = cut(new, tag)
-        jump = new.join(new.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", F.least(F.coalesce("far", "label"), "label").alias("label"), "old")
-        jump = cut(jump, tag)
-        drop_cut(now, new)
-        now = jump.select("node", "label")
-        now._evispan_path = jump._evispan_path
-        if not jump.where("label <> old").limit(1).count():
+        near = cut(links.select(F.inline(both).alias("a", "b")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), tag)
+        step = cut(near.join(near.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.col("far").alias("label")), tag)
+        to = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))
+        left = links.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to").select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct()
+        left = cut(left, tag)
+        drop_cut(links, near)
+        links = left
+        if now is None:
+            now = step
+        else:
+            later = cut(now.join(step.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), tag)
+            drop_cut(now, step)
+            now = later
+        if not links.limit(1).count():
             drop_cut(links)
             return now
 
@@ -216,15 +223,17 @@ def _candidates(members: DataFrame, p: Params) -> DataFrame:
             return []
         own, k, label = (np.array([r[c] for r in rows]) for c in range(3))
         sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, width)
-        two, root, links = own.min() != own.max(), np.arange(len(rows)), []
+        two, root = own.min() != own.max(), np.arange(len(rows))
         for x in range(1, len(rows)):
             other = np.flatnonzero((label[:x] != label[x]) & ((own[:x] != own[x]) | (not two)))
             near = other[(sig[other] == sig[x]).sum(1) >= least]
             if len(near):
-                roots, first = np.unique(root[near], return_index=True)
-                links += [(int(k[x]), int(k[y])) for y, r in zip(near[first].tolist(), roots.tolist()) if r != root[x]]
-                root[np.isin(root, roots)] = root[x]
-        return links
+                root[np.isin(root, root[near])] = root[x]
+        # to the least of each group, which other buckets are likely to have as well
+        order = np.lexsort((k, root))
+        first = np.flatnonzero(np.append(True, root[order[1:]] != root[order[:-1]]))
+        least_k = np.repeat(k[order[first]], np.diff(np.append(first, len(order))))
+        return [(a, b) for a, b in zip(k[order].tolist(), least_k.tolist()) if a != b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
