@@ -62,6 +62,11 @@ def table_hash(df: DataFrame) -> dict:
     return {"rows": got["rows"], "hash": f"{(got['x'] or 0) & (2**64 - 1):016x}-{got['s'] or 0}"}
 
 
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of a written folder."""
+    return json.loads(spark.read.json(f"{path}/manifest").first()["manifest"])
+
+
 def verify(spark: SparkSession, path: str) -> list[str]:
     """Names of tables that no longer equal their manifest."""
     row = spark.read.json(f"{path}/manifest").first()

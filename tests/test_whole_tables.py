@@ -29,7 +29,7 @@ def test_every_vector_is_a_query(spark, vectors):
     assert all(got[q, n + 1][0] == best[q][n] and abs(got[q, n + 1][1] - sim[q][best[q][n]]) < 2e-6 for q in range(700) for n in range(10))
 
 
-@pytest.mark.parametrize("name, weight, most", [("rrf_fusion_all", 1.0, 40), ("rrf_weighted_all", 0.25, 40), ("hybrid_topk_all", 0.0, 5)])
+@pytest.mark.parametrize("name, weight, most", [("rrf_fusion_all", 1.0, 40), ("rrf_weighted_all", 0.25, 40), ("hybrid_topk_all", 0.5, 5)])
 def test_every_vector_is_fused(spark, vectors, name, weight, most):
     out, _, best, same = vectors
     got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["first_rank"], r["second_rank"]) for r in catalogue.queries()[name](spark, out).collect()}
