@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("passage_dedup", drop_repeated_passages), ("packing", pack)]
-#: SQL expresses none of these stages, and no test holds run() against brute force yet.
+#: SQL expresses none of these stages; tests/llm/test_pipeline.py holds run() against a plain version of them.
 ORACLE_SQL = None
 
 
