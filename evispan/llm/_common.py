@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -71,12 +72,14 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches cut so that a slice has about ``most`` characters (one row at least), with the column as a list."""
+    """Batches cut so that a slice has about ``most`` characters (one row at least), with the column as a list. Only a slice's
+    values are Python objects at a time."""
     for batch in batches:
-        values = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        values = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.utf8_length(values), 0).to_numpy(zero_copy_only=False).tolist()
         start = size = 0
-        for i, v in enumerate(values):
-            size += len(v or "")
-            if size >= most or i + 1 == len(values):
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= most or i + 1 == len(sizes):
+                yield batch.slice(start, i + 1 - start), values.slice(start, i + 1 - start).to_pylist()
                 start, size = i + 1, 0
