@@ -68,7 +68,7 @@ class Shingler:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes and how often each occurs."""
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         memo, found = self.memo, []
         for u in text.lower().split():

@@ -16,7 +16,7 @@ from evispan.llm._common import cut, drop_cut, slices
 
 _WORD = re.compile(r"\w+")
 #: Entries of a task's table of units before it is emptied: memory only, never a result.
-MEMO = 200_000
+MEMO = 100_000
 
 
 @dataclass(frozen=True)
