@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evispan.functions import text as t
 from evispan import config as config_
-from evispan.operators import answers, checks, chunking, context, extract, graph, intervals, runs, search
+from evispan.operators import answers, checks, chunking, context, extract, graph, intervals, proposals, reviews, runs, search, statements
 from evispan.plans import inputs as i
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,7 @@ _MERGED = "SELECT question_id, doc_id, island, min(c_start) AS a, max(c_end) AS
 _EDGES = """edges AS (SELECT 'nr:' || n_nationkey AS edge_id, 'n' || n_nationkey AS src, 'in_region' AS predicate, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'sn:' || s_suppkey, 's' || s_suppkey, 'in_nation', 'n' || s_nationkey FROM supplier UNION ALL SELECT 'cn:' || c_custkey, 'c' || c_custkey, 'in_nation', 'n' || c_nationkey FROM customer UNION ALL SELECT 'oc:' || o_orderkey, 'o' || o_orderkey, 'placed_by', 'c' || o_custkey FROM orders UNION ALL SELECT 'ls:' || l_orderkey || ':' || l_linenumber, 'o' || l_orderkey, 'supplied_by', 's' || l_suppkey FROM lineitem)"""
 _STATE = """st AS (SELECT c_custkey AS statement_id, CASE c_custkey % 3 WHEN 0 THEN c_name || ' buys as ' || c_mktsegment || '.' WHEN 1 THEN c_name || ' is in the ' || n_name || ' nation.' ELSE c_name || ' has an account' END AS statement FROM customer JOIN nation ON c_nationkey = n_nationkey),
 m AS (SELECT *, CAST(regexp_full_match(statement, '(\\S+) is in the (.+) nation\\.') AS INT) AS m1, CAST(regexp_full_match(statement, '(\\S+) buys as (.+)\\.') AS INT) AS m2, CAST(regexp_full_match(statement, '(\\S+) is (.+)\\.') AS INT) AS m3 FROM st)""".replace("\\\\", "\\")
+_SAID = "said AS (SELECT c_custkey AS statement_id, c_custkey % 3 AS kind, CASE c_custkey % 3 WHEN 0 THEN 'segment' WHEN 1 THEN 'in_nation' END AS predicate, CASE WHEN c_custkey % 3 < 2 THEN lower(c_name) END AS subject, CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN lower(n_name) END AS object FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 _RUNS = "runs AS (SELECT event_type AS strategy, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 10 END AS k, user_id % 40 AS question_id, 't' || (user_id % 3) AS qtype, CAST(user_id % 2 AS INTEGER) AS hops, CAST(user_id % 4 AS INTEGER) AS docs, event_id % 3 = 0 AS complete, (event_id % 5) / 4.0::DOUBLE AS coverage, value AS ms FROM events)"
 
 
@@ -473,6 +474,61 @@ def link_query_longest(spark, d):
     return extract.link(asked, names).select("query_id", "start", "surface", F.size("candidates").alias("n_candidates"))
 
 
+@query(r"SELECT doc_id, CAST(a + length(regexp_extract(l, '^\s*')) AS INTEGER) AS start, t AS text FROM (SELECT *, regexp_replace(l, '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, l, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY o) - length(l) - 1 AS a FROM (SELECT doc_id, unnest(range(len(p))) AS o, unnest(p) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))) WHERE t <> '' AND NOT regexp_matches(t, '^#{1,6}(\s|$)')")
+def statement_lines(spark, d):
+    return statements.statements(i.documents(spark, d), "doc_id").select("doc_id", "start", "text")
+
+
+def _said(spark, d):
+    """Statements as documents, each of one chunk."""
+    docs = i.statements(spark, d).select(F.col("statement_id").alias("document_id"), F.col("statement").alias("text"))
+    return docs, docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.lit(0).alias("start"), F.length("text").alias("end"), "text")
+
+
+def _told(out, key: str):
+    """Relations by the names of their ends, and issues, as rows."""
+    name = lambda end: out["entities"].select(F.col("entity_id").alias(f"{end}_id"), F.col("key").alias(end))
+    rows = out["relations"].join(name("subject"), "subject_id").join(name("object"), "object_id").select(F.col(key).alias("statement_id"), F.lit(None).cast("string").alias("issue"), "predicate", "subject", "object")
+    return rows.unionByName(out["issues"].select(F.col(key).alias("statement_id"), "issue"), allowMissingColumns=True)
+
+
+@query(f"WITH {_SAID} SELECT statement_id, CASE kind WHEN 2 THEN 'unmatched_statement' END AS issue, predicate, subject, object FROM said")
+def rule_extraction(spark, d):
+    return _told(statements.extract_rules(*_said(spark, d), i.NAMED_RULES), "document_id")
+
+
+@query(f"WITH {_SAID} SELECT key, count(*) AS n FROM (SELECT subject AS key FROM said WHERE kind < 2 UNION ALL SELECT object FROM said WHERE kind < 2) GROUP BY 1")
+def rule_mentions(spark, d):
+    out = statements.extract_rules(*_said(spark, d), i.NAMED_RULES)
+    return out["mentions"].join(out["entities"].select("entity_id", "key"), "entity_id").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SAID}, r AS (SELECT *, CASE WHEN statement_id % 7 = 0 THEN 'invalid_json' WHEN kind = 2 THEN 'none' WHEN statement_id % 5 = 0 THEN 'invalid_quote' END AS issue FROM said) SELECT statement_id, issue, CASE WHEN issue IS NULL THEN predicate END AS predicate, CASE WHEN issue IS NULL THEN subject END AS subject, CASE WHEN issue IS NULL THEN object END AS object FROM r WHERE issue IS DISTINCT FROM 'none'")
+def model_extraction(spark, d):
+    _, chunks = _said(spark, d)
+    return _told(proposals.process(chunks, i.receipts(chunks), i.ONTOLOGY), "document_id")
+
+
+_REVIEWS = "rev AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'revise' ELSE 'later' END AS decision, doc_id % 3 = 0 AS independent, toxic = 0 AS checked FROM labels)"
+
+
+@query(f"WITH {_REVIEWS} SELECT doc_id, CASE decision WHEN 'later' THEN 'no decision' WHEN 'pending' THEN 'pending but attested' ELSE 'approved without every check' END AS fault FROM rev WHERE decision = 'later' OR (decision = 'pending' AND independent) OR (decision = 'approved' AND NOT (independent AND checked)) UNION ALL SELECT doc_id, 'reviewed twice' FROM rev GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT doc_id, 'not reviewed' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM rev) UNION ALL SELECT doc_id, 'unknown' FROM rev WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def review_faults(spark, d):
+    return reviews.faults(i.reviews(spark, d), i.documents(spark, d), "doc_id")
+
+
+@query(f"WITH {_REVIEWS} SELECT count(*) FILTER (decision = 'pending') AS pending, count(*) FILTER (decision = 'approved') AS approved, count(*) FILTER (decision = 'revise') AS revise, count(*) AS subjects, count(*) FILTER (decision = 'approved') = count(*) AS all_approved, false AS reviewer_identity_authenticated, CAST(0 AS BIGINT) AS held_out FROM rev")
+def review_decisions(spark, d):
+    return reviews.decisions(i.reviews(spark, d))
+
+
+@query(f"WITH {_GOLD}, {_SENT}, seen AS (SELECT DISTINCT question_id FROM gold JOIN chunks USING (doc_id) WHERE c_start <= s AND e <= c_end) SELECT 'documents' AS what, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM documents UNION ALL SELECT 'chunks', NULL, count(*) FROM chunks UNION ALL SELECT 'questions', NULL, count(*) FROM benchmark UNION ALL SELECT 'documents with evidence', NULL, count(DISTINCT doc_id) FROM gold UNION ALL SELECT 'uncovered questions', NULL, count(*) FROM benchmark WHERE item_id NOT IN (SELECT question_id FROM seen)")
+def coverage_audit(spark, d):
+    spans, chunks = i.gold(spark, d), i.chunks(spark, d)
+    seen = intervals.containing(spans, chunks.select("doc_id", "chunk_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"))).select("question_id", F.lit(True).alias("complete"))
+    return reviews.audit(i.documents(spark, d), chunks, i.questions(spark, d), spans, seen)
+
+
 # reports
 
 

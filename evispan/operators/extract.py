@@ -58,35 +58,48 @@ def relations(matches: DataFrame, entities: DataFrame) -> DataFrame:
     return out.withColumn("issue", issue).withColumn("assertion_id", F.when(issue.isNull(), stable_id("assertion", F.col("subject_id"), F.col("predicate"), F.col("object_id"))))
 
 
-def link(queries: DataFrame, entities: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
-    """Names in query texts: longest first, then leftmost, then by surface; no two overlap; no word character or hyphen next to one.
-    ``query, start, surface, candidates``.
-
-    Runs of words up to the longest surface's length are looked up by a hash join on the surface, so the cost
-    follows the query's length, not the number of names; the overlap rule is a fold over one query's matches.
-    """
-    known = surfaces(entities)
-    most = known.agg(F.max(F.size(F.split("surface", " "))).alias("n")).first()["n"] or 0
+def _runs(rows: DataFrame, key: str, text: str, most: int, beside: str, keep: list[str]) -> DataFrame:
+    """``key, start, end, surface`` (and ``keep``) of the runs of up to ``most`` words of a text, cut where no sign of ``beside`` stands
+    next to them. Their number follows the text's length and the longest surface, not the number of names."""
+    left, right, sign = re.compile(rf"(?<!{beside})(?=\S)"), re.compile(rf"(?<=\S)(?!{beside})"), re.compile(beside)
 
-    def runs(pdfs):
+    def run(pdfs):
         for pdf in pdfs:
             out = []
-            for key, body in zip(pdf[query], pdf[text]):
-                folded = (body or "").lower().replace("ß", "ss")
-                words = [(m.start(), m.end()) for m in re.finditer(r"\S+", folded)]
-                marks = sorted({p for a, b in words for p in (a, b)} | {m.start() for m in re.finditer(r"(?<![\w-])(?=\S)", folded)} | {m.end() for m in re.finditer(r"\S(?![\w-])", folded)})
+            for row in zip(*(pdf[c] for c in (text, key, *keep))):
+                body = row[0] or ""
+                words = [(m.start(), m.end()) for m in re.finditer(r"\S+", body)]
+                marks = sorted({p for w in words for p in w} | {m.start() for m in left.finditer(body)} | {m.end() for m in right.finditer(body)})
                 for i, a in enumerate(marks):
+                    if a and sign.match(body[a - 1]):
+                        continue
                     for b in marks[i + 1 :]:
-                        piece = folded[a:b]
+                        piece = body[a:b]
                         if len(piece.split()) > most:
                             break
-                        edge = (a > 0 and re.match(r"[\w-]", folded[a - 1])) or (b < len(folded) and re.match(r"[\w-]", folded[b]))
-                        if piece.strip() == piece and not edge:
-                            out.append((key, a, b, " ".join(piece.split())))
-            yield pd.DataFrame(out, columns=[query, "start", "end", "surface"])
+                        if piece.strip() == piece and not (b < len(body) and sign.match(body[b])):
+                            out.append((*row[1:], a, b, " ".join(piece.lower().replace("ß", "ss").split())))
+            yield pd.DataFrame(out, columns=[key, *keep, "start", "end", "surface"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return rows.select(key, text, *keep).mapInPandas(run, f"{kinds}, start int, end int, surface string").distinct()
+
+
+def _longest(known: DataFrame) -> int:
+    """Words of the longest surface: one number, as both sides of the lookup must know it."""
+    return known.agg(F.max(F.size(F.split("surface", " "))).alias("n")).first()["n"] or 0
 
-    kind = queries.schema[query].dataType.simpleString()
-    found = queries.select(query, text).mapInPandas(runs, f"{query} {kind}, start int, end int, surface string").distinct().join(known, "surface")
+
+def link(queries: DataFrame, entities: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
+    """Names in query texts: longest first, then leftmost, then by surface; no two overlap; no word character or hyphen next to one.
+    ``query, start, surface, candidates``, places in the normalised query.
+
+    Runs of words up to the longest surface's length are looked up by a hash join on the surface, so the cost
+    follows the query's length, not the number of names; the overlap rule is a fold over one query's matches.
+    """
+    known = surfaces(entities)
+    asked = queries.select(query, normalize_name(F.col(text)).alias(text))
+    found = _runs(asked, query, text, _longest(known), r"[\w-]", []).join(known, "surface")
     order = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("neg"), "start", "surface", "end", "candidates")))
     zero = F.slice(F.col("ms"), 1, 0)
     free = lambda acc, m: ~F.exists(acc, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
@@ -94,6 +107,11 @@ def link(queries: DataFrame, entities: DataFrame, query: str = "query_id", text:
     return kept.select(query, "m.start", "m.surface", "m.candidates")
 
 
+def links(queries: DataFrame, entities: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
+    """What a query names, once a set of candidates: ``query, candidates, surfaces``."""
+    return link(queries, entities, query, text).groupBy(query, "candidates").agg(F.array_sort(F.collect_set("surface")).alias("surfaces"))
+
+
 def mentions(statements: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Places of unambiguous names in texts, as ``link`` finds them."""
     return link(statements, entities, key, text).where(F.size("candidates") == 1).select(key, "start", "surface", F.element_at("candidates", 1).alias("entity_id"))

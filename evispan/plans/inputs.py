@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evispan import config
 from evispan.functions import text as t
-from evispan.operators import search
+from evispan.operators import proposals, search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,40 @@ RULES = [
 ]
 
 
+NAMED_RULES = config.Rules((
+    config.Rule("r1", r"(?P<subject>\S+) is in the (?P<object>.+) nation\.", "customer", "nation", "in_nation"),
+    config.Rule("r2", r"(?P<subject>\S+) buys as (?P<object>.+)\.", "customer", "segment", "segment"),
+))
+
+ONTOLOGY = config.ModelExtraction(
+    config.LocalModel("none/none", "0" * 40),
+    {"customer": "who buys", "nation": "a nation", "segment": "a part of the market"},
+    (config.RelationKind("in_nation", "where a customer is", ("customer",), ("nation",)), config.RelationKind("segment", "what a customer buys as", ("customer",), ("segment",))),
+)
+
+
+def receipts(chunks: DataFrame) -> DataFrame:
+    """What a model might have replied to each chunk of ``statements``: every seventh reply is broken, every fifth quotes other words."""
+    n, text = F.col("chunk_id"), F.col("text")
+    end = lambda i, name, kind: F.struct(F.lit(i).alias("id"), name.alias("name"), kind.alias("entity_type"))
+    nation = text.contains(" is in the ")
+    other = F.when(nation, F.regexp_extract(text, r" is in the (.+) nation", 1)).otherwise(F.regexp_extract(text, r" buys as (.+)\.", 1))
+    kind = F.when(nation, "nation").otherwise("segment")
+    relation = F.struct(F.lit("e1").alias("subject"), F.when(nation, "in_nation").otherwise("segment").alias("predicate"), F.lit("e2").alias("object"), F.when(n % 5 == 0, "other words").otherwise(text).alias("quote"))
+    body = F.to_json(F.struct(F.array(end("e1", F.split(text, " ")[0], F.lit("customer")), end("e2", other, kind)).alias("entities"), F.array(relation).alias("relations")))
+    reply = F.when(n % 7 == 0, "{").when(text.endswith("account"), '{"entities":[],"relations":[]}').otherwise(body)
+    return proposals.requests(chunks, ONTOLOGY).join(chunks.select("chunk_id", reply.alias("response")), "chunk_id").select("request_sha256", "response", F.lit("stop").alias("finished"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows made of labels: decisions by the id, every check by the label, every third reviewer independent."""
+    lab, n = table(spark, sf_dir, "labels"), F.col("doc_id")
+    decision = F.when(n % 4 == 0, "pending").when(n % 4 == 1, "approved").when(n % 4 == 2, "revise").otherwise("later")
+    if_decided = lambda c: F.when(n % 4 > 0, c)
+    attested = F.struct(*[if_decided(F.col("toxic") == 0).alias(c) for c in ("source_checked", "answer_supported")])
+    return lab.select("doc_id", decision.alias("decision"), if_decided(F.lit("someone")).alias("reviewer"), if_decided(F.lit("2024-01-01").cast("date")).alias("reviewed_on"), (n % 3 == 0).alias("independent"), attested.alias("checks"), if_decided(F.lit("read")).alias("notes"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences over real rows: a third fits one rule, a third two, a third none."""
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
