@@ -27,18 +27,29 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
 
 
+#: Passages without an inner word that one block holds beside the documents.
+BLOCK = 1000
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places where a question's passage lies in a document: each such document is one sufficient set of one fact.
+    """First place where a question's passage lies in a document: each such document is one sufficient set of one fact.
 
-    Equal texts of a stated length can only meet at equal words: passages are keyed by their first word and the document's words
-    are probed with it, so the join is a hash join; the whole passage is compared after.
+    A word with white space on both sides in the passage is a whole word of any text that holds it, wherever the passage begins or ends. Passages
+    are keyed by the longest such word and met by a hash join on the documents' words; the whole passage is compared after. Those of one or two words
+    have none: they are asked of all documents in blocks of ``BLOCK``. Empty passages lie nowhere.
     """
-    word = lambda c: F.regexp_extract(c, r"\S+", 0)
-    q = questions(spark, sf_dir).withColumn("key", word(F.col("query")))
-    # a passage may begin inside a line but not inside a word, so its first word, or a word that ends like it, is in the document
+    inner = F.filter(F.split("query", r"\s+"), lambda x, i: (i > 0) & (i < F.size(F.split("query", r"\s+")) - 1))
+    longest = F.aggregate(inner, F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull() | (F.length(x) > F.length(acc)), x).otherwise(acc))
+    q = questions(spark, sf_dir).where(F.length("query") > 0).withColumn("key", longest)
     d = documents(spark, sf_dir)
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(q.select("key").distinct(), "key", "left_semi")
-    hit = keys.join(q, "key").join(d, "doc_id").where(F.instr(F.col("text"), F.col("query")) > 0)
+    whole = q.where("key IS NOT NULL")
+    keys = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(whole.select("key").distinct(), "key", "left_semi")
+    hit = keys.join(whole, "key").select("doc_id", "question_id", "query").join(d, "doc_id").where(F.instr(F.col("text"), F.col("query")) > 0)
+    short = q.where("key IS NULL").select("question_id", "query")
+    blocks = -(-short.count() // BLOCK)
+    for n in range(blocks):
+        own = short.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == n)
+        hit = hit.unionByName(d.join(F.broadcast(own), F.instr(F.col("text"), F.col("query")) > 0))
     start = F.instr(F.col("text"), F.col("query")) - 1
     return hit.select("question_id", "doc_id", start.alias("start"), (start + F.length("query")).alias("end"))
 

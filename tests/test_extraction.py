@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evispan import config
 from evispan.operators import extract, proposals, reviews, statements
+from evispan.plans import inputs
 from evispan.sources import host
 
 R = random.Random(11)
@@ -256,6 +257,17 @@ def test_graph_audit(spark):
     assert rows(got["assertions"], "query_id", "assertion_id") == [(1, "r1")] and rows(got["entities"], "query_id", "entity_id") == [(1, "a"), (1, "b"), (1, "d"), (2, "c")]
 
 
+def test_gold_finds_passages_that_begin_or_end_inside_words(spark, tmp_path):
+    words = ["sand", "and", "handy", "(and", "sandbar", "d", "x\ty", "über"]
+    docs = [(i, " ".join(R.choices(words, k=12))) for i in range(20)] + [(20, None), (21, "")]
+    spans = [(d, a, a + R.randrange(1, 30)) for d, a in ((R.randrange(20), R.randrange(30)) for _ in range(60))]
+    asked = [(i, docs[d][1][a:b]) for i, (d, a, b) in enumerate(spans) if docs[d][1][a:b]] + [(90, ""), (91, None), (92, "nowhere at all here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert any(len(p.split()) < 3 for _, p in asked if p) and any(len(p.split()) > 3 for _, p in asked if p)
+    assert rows(inputs.gold(spark, str(tmp_path))) == sorted((q, d, t.find(p), t.find(p) + len(p)) for q, p in asked if p for d, t in docs if t and p in t)
+
+
 def test_host_memory(tmp_path):
     path = tmp_path / "meminfo"
     path.write_text("MemTotal: 9 kB\nMemAvailable:    2097152 kB\n")
