@@ -352,6 +352,51 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nn_descent.nearest(df.where("vec_id > 3000")).count() == 0 and nn_descent.nearest(df.where("vec_id <= 3")).count() == 3
 
 
+def test_nearest_over_many_cells(spark):
+    """Several cells, one of them hot and in several shards, an island of near copies; the work is a few jobs, whatever the rounds."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(5000, 16))
+    x[1000:3000] = x[1000] + 1e-3 * r.normal(size=(2000, 16))
+    x[4000:4040] = x[4000] + 1e-4 * r.normal(size=(40, 16))
+    p = nn_descent.Params(rows=500, probes=3, share=0.3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    spark.sparkContext.setJobGroup("nearest", "nearest")
+    got: dict = {}
+    for row in nn_descent.nearest(df, p=p).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 30  # joins of rows in every round took more
+    assert set(got) == set(range(0, 5000, 100)) and all(len(v) == 10 for v in got.values())
+    hit = 0
+    for q, own in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len({i for i, _ in own} & set(np.argsort(d)[:10].tolist()))
+        assert np.allclose([s for _, s in own], d[[i for i, _ in own]], rtol=1e-12, atol=0) and own == sorted(own, key=lambda p: (p[1], p[0]))
+    assert hit >= 0.9 * 500
+    assert {i for i, _ in got[4000]} <= set(range(4001, 4040))
+
+
+def test_graph_and_search_against_brute_force():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 24)).astype(np.float32)
+    d = ((x[:, None, :8] - x[None, :, :8]) ** 2).sum(2) + ((x[:, None, 8:] - x[None, :, 8:]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    p = nn_descent.Params()
+    keys = nn_descent.graph(x, p)
+    edges = set(zip(nn_descent._to(keys).tolist(), nn_descent._node(keys).tolist()))
+    assert 3000 * p.k - 100 <= len(edges) == len(keys) <= 3000 * p.k and not any(a == b for a, b in edges)
+    best = np.argsort(d, axis=1)[:, : p.k]
+    assert sum((i, j) in edges for i in range(3000) for j in best[i].tolist()) >= 0.9 * len(edges)
+    found: dict = {}
+    for to, node in nn_descent.search(x, nn_descent._links(keys, 3000, p), x[:200], np.full(200, -1), p):
+        for a, b in zip(to.tolist(), node.tolist()):
+            found.setdefault(a, []).append(b)
+    assert all(len(set(v)) == len(v) == p.beam and v[0] == a for a, v in found.items())
+    assert sum(len(set(best[a, :10].tolist()) & set(v)) for a, v in found.items()) >= 0.97 * 2000
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
