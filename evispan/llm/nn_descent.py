@@ -34,7 +34,7 @@ class Params:
     starts: int = 1024
     rows: int = 32768
     probes: int = 32
-    share: float = 0.2
+    share: float = 0.25
 
 
 # Edges of a graph and nodes of a beam are numbers that sort by owner, squared distance, node and whether they are new:
